@@ -3,8 +3,8 @@
 Words are runs of letters and digits, lower-cased. Every n-gram of words of a test item is a seed (3 words; an item
 with fewer is one seed of its own length). One pass over the texts finds all occurrences of seeds, gathers those of
 one item that lie near each other into passages, and counts in how many documents each seed occurs, over all of
-them. Seeds are rare if they occur in at most RARE of the documents, or are among the RAREST_KEPT rarest of their
-item, so that an item that leaked everywhere keeps its seeds. Passages with a rare seed are aligned with their item
+them. A seed is rare unless it occurs in more documents than RARE of them all (COMMON at the least) and OWN times
+the lower quartile of its item's seeds together, so that an item that leaked everywhere keeps its seeds. Passages with a rare seed are aligned with their item
 (match +2, mismatch -1, gap -1); the score is the best local alignment's over that of the whole item. Passages whose
 words cannot reach the threshold, whatever their order, are not aligned. Documents from THRESHOLD on are contaminated.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.llm.common import materialise, ship
 
-SIZE, RARE, RAREST_KEPT, THRESHOLD, BLOCK_SEEDS = 3, 0.001, 12, 0.5, 500_000
+SIZE, RARE, COMMON, OWN, THRESHOLD, BLOCK_SEEDS = 3, 0.001, 100, 4, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
 
@@ -210,8 +210,8 @@ def find_contamination(
         counts = {r["seed"]: r["n"] for r in found.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).collect()}
         rare = set()
         for own in seeds.item_seeds().values():
-            ranked = sorted(own, key=lambda s: (counts.get(s, 0), s))
-            rare |= set(ranked[:RAREST_KEPT]) | {s for s in ranked if counts.get(s, 0) <= rare_share * n_docs}
+            quartile = sorted(counts.get(s, 0) for s in own)[len(own) // 4]
+            rare |= {s for s in own if counts.get(s, 0) <= max(COMMON, rare_share * n_docs) + OWN * quartile}
         scored = found.mapInArrow(_score(sent, spark.sparkContext.broadcast(rare), threshold), MATCHES)
         out = scored if out is None else out.unionByName(scored)
     if out is None:

@@ -98,9 +98,9 @@ def oracle_sql() -> dict[str, str]:
             cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
             parts AS (SELECT page_id, rest, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-            hits AS (SELECT page_id, host, path, rule_host || rule_path AS rule, verdict FROM parts JOIN rules
+            hits AS (SELECT DISTINCT host, path, rule_host || rule_path AS rule, verdict FROM parts JOIN rules
                      ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
-            best AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM hits GROUP BY ALL)
+            best AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM hits GROUP BY ALL)
             SELECT parts.page_id, parts.host, parts.path, best.rule, coalesce(best.verdict, 'allow') AS verdict
-            FROM parts LEFT JOIN best ON parts.page_id = best.page_id AND parts.host = best.host AND parts.path = best.path""",
+            FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path""",
     }

@@ -2,7 +2,7 @@
 
 The lexicon holds whole words and stems (a stem matches every word that begins with it). It starts from a fixed list
 of insults and adds what labelled rows teach: words and stems that occur in toxic documents far more often than their
-share would explain. One lazily determinised automaton accepts every word within an entry's edit distance: its states
+share would explain; words that resemble an entry but occur in clean rows are set down as ordinary. One lazily determinised automaton accepts every word within an entry's edit distance: its states
 are sets of (trie node, edits) pairs, made when first met, so most words fail after a few characters. Each hit counts
 by its distance and by its context: inside quotation marks, or near a word of reporting, it counts a quarter. The
 document's score is a logistic function of its evidence, fitted to labelled rows.
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracegrid.llm.common import sample_at_most, ship
+from tracegrid.llm.common import materialise, sample_at_most, ship
 
 #: Insults to start from, in four languages.
 LEXICON = (
@@ -43,7 +43,7 @@ REPORTING = (
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
 WINDOW = 60  # characters to either side
 QUOTED = 0.25  # what a quoted or reported hit counts
-MAX_TRAIN, MAX_LEXICON = 20_000, 5_000
+MAX_TRAIN, MAX_LEXICON, FEWEST = 20_000, 5_000, 10
 _TOKEN = re.compile(r"\w+(?:[*@$!]\w+)*")
 
 
@@ -140,6 +140,7 @@ REMEMBERED = 500_000
 @dataclass(frozen=True)
 class ToxicityModel:
     entries: tuple[str, ...]
+    ordinary: tuple[str, ...]
     weights: tuple[float, ...]  # bias, then one for each feature
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -150,8 +151,8 @@ class ToxicityModel:
 class Evidence:
     """Features of a text: evidence of exact hits, of misspelled hits, and of all hits by length."""
 
-    def __init__(self, entries: tuple[str, ...]):
-        self.automaton, self.known = Automaton(entries), {}
+    def __init__(self, entries: tuple[str, ...], ordinary: tuple[str, ...] = ()):
+        self.automaton, self.ordinary, self.known = Automaton(entries), frozenset(ordinary), {}
 
     def _lookup(self, words: set[str]) -> dict[str, int]:
         known, out = self.known, {}
@@ -160,7 +161,8 @@ class Evidence:
         for w in words:
             d = known.get(w, -1)
             if d == -1:
-                d = known[w] = self.automaton.distance(w)
+                d = self.automaton.distance(w)
+                d = known[w] = None if d and w in self.ordinary else d
             if d is not None:
                 out[w] = d
         return out
@@ -197,53 +199,81 @@ class Evidence:
 _REPORTED = frozenset(REPORTING)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, max_train: int):
-    """Labels of a bounded sample as {doc_id: label}; documents are found by it without a shuffle of texts."""
-    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).cast("int").alias("y"))
-    return {r["doc_id"]: r["y"] for r in sample_at_most(rows, "doc_id", max_train).collect()}
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
+    """(text, y) of a bounded sample, written once. At most about max_train ids are broadcast, so that no text is shuffled."""
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max(F.col(label_col)) > 0).cast("int").alias("y"))
+    chosen = sample_at_most(materialise(rows, "labels"), "__id", max_train)
+    return materialise(docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).alias("text"), "y"), "learning-rows")
 
 
 STEMS = range(4, 7)
 
 
-def learn_lexicon(docs: DataFrame, sent, id_col: str, text_col: str, max_entries: int = MAX_LEXICON, least: int = 6) -> list[str]:
-    """Words and stems of the labelled rows in `sent` that mark toxic documents. At most max_entries reach the driver."""
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A word counts once a document; a stem once for each of the document's words that have it."""
+    seen, toxic_docs = (Counter(), Counter()), Counter()
+    for b in batches:
+        for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            words = set(_TOKEN.findall((text or "").lower()))
+            terms = Counter(words) + Counter(w[:k] + "*" for w in words for k in STEMS if len(w) > k)
+            seen[y].update(terms)
+            if y:
+                toxic_docs.update(terms.keys())
+    terms = list(seen[0].keys() | seen[1].keys())
+    for at in range(0, len(terms), 50_000):
+        part = terms[at : at + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[t] for t in part]) for c in (seen[1], seen[0], toxic_docs))], names=["term", "toxic", "clean", "docs"])
+
+
+def _contexts(terms: frozenset[str]) -> Callable:
+    """The words on either side of each occurrence of a term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                y = sent.value.get(doc)
-                if y is not None:
-                    words = set(_TOKEN.findall((text or "").lower()))
-                    seen[y > 0].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
-        terms = list(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(terms), 50_000):
-            part = terms[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([seen[1][t] for t in part]), pa.array([seen[0][t] for t in part])], names=["term", "toxic", "clean"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull())
-    totals = rows.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    n_toxic = max(1, sum(1 for y in sent.value.values() if y > 0))
-    base = n_toxic / max(2, len(sent.value))
-    share = (F.col("toxic") + 0.0) / (F.col("toxic") + F.col("clean"))
-    # how unlikely so pure a term is by chance, in natural logarithms
-    surprise = F.col("toxic") * F.log(share / F.lit(base))
-    found = totals.where((F.col("toxic") >= least) & (share >= 0.95) & (surprise >= 14)).orderBy(F.desc(surprise), "term").limit(max_entries).collect()
-    stems = sorted((r["term"] for r in found if r["term"].endswith("*")), key=len)
-    words = [r["term"] for r in found if not r["term"].endswith("*")]
+            out = []
+            for text in b.column(0).to_pylist():
+                words = ["", *_TOKEN.findall((text or "").lower()), ""]
+                for left, w, right in zip(words, words[1:], words[2:]):
+                    out += [(t, f"{left} {right}") for t in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)) if t in terms]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([c for _, c in out], pa.string())], names=["term", "context"])
+
+    return run
+
+
+def learn_lexicon(rows: DataFrame, max_entries: int = MAX_LEXICON, least: int = 3) -> list[str]:
+    """Words and stems that mark the toxic ones among labelled rows (text, y). At most max_entries reach the driver.
+
+    A term is in `least` toxic rows or more, and so pure that a tenth of a term like it would be expected by chance."""
+    n = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
+    if not n["toxic"] or n["toxic"] == n["n"]:
+        return []
+    counted = rows.mapInArrow(_term_counts, "term string, toxic long, clean long, docs long").groupBy("term")
+    totals = materialise(counted.agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "docs")]).where(F.col("docs") >= least), "terms")
+    share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    surprise = F.col("toxic") * F.log(share / F.lit(n["toxic"] / n["n"]))
+    needed = math.log(10 * max(1, totals.count()))
+    pure = totals.where((share >= 0.95) & (surprise >= needed)).orderBy(F.desc(surprise), "term").limit(max_entries).select("term", (surprise / F.col("toxic")).alias("each")).collect()
+    each = {r["term"]: r["each"] for r in pure}
+    around = rows.where("y = 1").mapInArrow(_contexts(frozenset(each)), "term string, context string").groupBy("term").agg(F.countDistinct("context").alias("n"))
+    # copies of one toxic document bring a term again and again between the same words; only other places count
+    places = {r["term"]: r["n"] for r in around.collect()}
+    found = [t for t, k in places.items() if k >= least and k * each[t] >= needed]
+    stems = sorted((t for t in found if t.endswith("*")), key=lambda t: (len(t), t))
+    words = [t for t in found if not t.endswith("*")]
     kept: list[str] = []
     for s in stems:  # the shortest pure stem stands for the longer ones; one made up of a single word says no more than it
         if not any(s.startswith(k[:-1]) for k in kept):
             kept.append(s)
     spread = {s: [w for w in words if w.startswith(s[:-1])] for s in kept}
     kept = [s for s in kept if len(spread[s]) != 1]
+    # as long a stem as loses next to none of its places
+    kept = [max((t for t in stems if t.startswith(s[:-1]) and places[t] >= 0.95 * places[s]), key=len) for s in kept]
     return sorted({*kept, *(w for w in words if not any(w.startswith(s[:-1]) for s in kept))})
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> tuple[float, ...]:
-    """Logistic regression by Newton steps. Fixed weights where one class is missing."""
-    if not len(y) or y.min() == y.max():
+    """Logistic regression by Newton steps. Fixed weights where a class has fewer than FEWEST rows."""
+    if min((y > 0).sum(), (y <= 0).sum()) < FEWEST:
         return -2.0, 4.0, 3.0, 0.5
     a, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
     for _ in range(rounds):
@@ -257,34 +287,48 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) ->
     return tuple(w.tolist())
 
 
-def _featured(docs: DataFrame, entries: tuple[str, ...], id_col: str, text_col: str, only=None) -> DataFrame:
-    ship(docs.sparkSession)
-
+def _near_words(entries: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         evidence = Evidence(entries)
         for b in batches:
-            if only is not None:
-                b = b.filter(pa.array([d in only.value for d in b.column(0).to_pylist()], pa.bool_()))
-            f = np.array([evidence.features(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, k]) for k in range(3))], names=["doc_id", "f0", "f1", "f2"])
+            near = [(w, y) for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w, d in evidence._lookup(set(_TOKEN.findall((text or "").lower()))).items() if d]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in near], pa.string()), pa.array([y for _, y in near], pa.int32())], names=["word", "y"])
+
+    return run
+
+
+def ordinary_words(rows: DataFrame, entries: tuple[str, ...], max_entries: int = MAX_LEXICON) -> list[str]:
+    """Words that resemble an entry but occur in clean documents as often as in toxic ones: no misspellings of it."""
+    near = rows.mapInArrow(_near_words(entries), "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    return [r["word"] for r in near.where("2 * toxic <= n").orderBy(F.desc("n"), "word").limit(max_entries).collect()]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, f0 double, f1 double, f2 double")
+
+def _features(entries: tuple[str, ...], ordinary: tuple[str, ...], keep: int) -> Callable:
+    """keep: the column, besides the text, that is passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        evidence = Evidence(entries, ordinary)
+        for b in batches:
+            f = np.array([evidence.features(t) for t in b.column(1 - keep).to_pylist()], np.float64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column(keep), *(pa.array(f[:, k]) for k in range(3))], names=[b.schema.names[keep], "f0", "f1", "f2"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> ToxicityModel:
     ship(docs.sparkSession)
-    known = _labelled(docs, labels, id_col, label_col, max_train)
-    sent = docs.sparkSession.sparkContext.broadcast(known)  # at most about max_train pairs
-    entries = tuple(sorted({*LEXICON, *learn_lexicon(docs, sent, id_col, text_col)}))
-    rows = _featured(docs, entries, id_col, text_col, only=sent).toPandas()  # at most about max_train rows of 3 numbers
-    y = np.array([known[d] > 0 for d in rows["doc_id"]], np.float64)
-    return ToxicityModel(entries, _fit(rows[["f0", "f1", "f2"]].to_numpy(), y))
+    rows = _labelled(docs, labels, id_col, text_col, label_col, max_train)
+    entries = tuple(sorted({*LEXICON, *learn_lexicon(rows)}))
+    ordinary = tuple(ordinary_words(rows, entries))
+    known = rows.mapInArrow(_features(entries, ordinary, 1), "y int, f0 double, f1 double, f2 double").toPandas()  # at most about max_train rows of 4 numbers
+    return ToxicityModel(entries, ordinary, _fit(known[["f0", "f1", "f2"]].to_numpy(), known["y"].to_numpy(np.float64)))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row."""
-    rows = _featured(docs, model.entries, id_col, text_col)
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_features(model.entries, model.ordinary, 0), f"doc_id {kind}, f0 double, f1 double, f2 double")
     z = F.lit(model.weights[0])
     for k, w in enumerate(model.weights[1:]):
         z = z + F.col(f"f{k}") * F.lit(w)

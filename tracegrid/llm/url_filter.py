@@ -112,11 +112,11 @@ def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
-    ask = parts.select("page_id", "host", "path", F.explode(hosts).alias("h")).where("h != ''").select("page_id", "host", "path", F.explode(prefixes).alias("p"), "h")
-    ask = ask.select("page_id", "host", "path", F.concat("h", "p").alias("text")).withColumn("digest", F.xxhash64("text"))
+    ask = parts.select("host", "path").distinct().select("host", "path", F.explode(hosts).alias("h")).where("h != ''").select("host", "path", F.explode(prefixes).alias("p"), "h")
+    ask = ask.select("host", "path", F.concat("h", "p").alias("text")).withColumn("digest", F.xxhash64("text"))
     hit = ask.join(rules, (ask["digest"] == rules["digest"]) & (ask["text"] == rules["rule"]))
-    best = hit.groupBy("page_id", "host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("b"))
-    named = parts.join(best, ["page_id", "host", "path"], "left")
+    best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("b"))
+    named = parts.join(best, ["host", "path"], "left")
     return named.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
 
 
