@@ -35,6 +35,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self links count as nodes. No edges: no rows. Each round is written in the shared folder. A hub costs its
     degree once a round: minima are combined before the shuffle, and the join's skewed partitions can be split.
     """
+    edges = materialise(edges.select("u", "v"), "links")  # read twice below; whatever makes them runs once
     loops = edges.where("u = v").select(F.col("u").alias("node"))
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
     edges = materialise(edges, "edges")
