@@ -261,9 +261,9 @@ def block_flags(spark, sf_dir):
 
 
 @register(f"""WITH {fx.EVENTS} SELECT i.feature_id, CASE WHEN i.trace_len = 0 THEN 3 ELSE 1 END AS flags, i.trace_len, coalesce(string_agg(CAST(ts AS VARCHAR), ',' ORDER BY point_idx), '') AS ts_list
-  FROM idx i LEFT JOIN pts p ON i.sample_id = p.sample_id AND i.feature_id = p.feature_id WHERE i.sample_id = 37 GROUP BY ALL""")
+  FROM idx i LEFT JOIN pts p ON i.sample_id = p.sample_id AND i.feature_id = p.feature_id WHERE i.sample_id = 7 GROUP BY ALL""")
 def block_trace_lookup(spark, sf_dir):
-    return blocks.trace_in_block(_blocks(spark, sf_dir), 37, ["ts"], PER_BLOCK).where("flags > 0").select("feature_id", "flags", "trace_len", _joined("ts").alias("ts_list"))
+    return blocks.trace_in_block(_blocks(spark, sf_dir), 7, ["ts"], PER_BLOCK).where("flags > 0").select("feature_id", "flags", "trace_len", _joined("ts").alias("ts_list"))
 
 
 @register(f"WITH {fx.EVENTS} SELECT feature_id, CAST(sum(trace_len) AS BIGINT) AS n_points, count(DISTINCT sample_id // {PER_BLOCK}) AS n_blocks FROM idx GROUP BY 1")
