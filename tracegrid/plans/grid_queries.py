@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tracegrid import axes
 from tracegrid.functions import temporal, values
 from tracegrid.operators import blocks, checks, scalar, selection, stats, traces
 from tracegrid.plans import fixtures as fx
+from tracegrid.schema import RAW, PointColumn, PointSchema
+from tracegrid.sources import binary_blocks, scalar_store, session, storage, trace_store
+from tracegrid.streaming import ingest
 
 PER_PART, PER_BLOCK, DIGITS = 16, 16, 7
 FEATURES, SAMPLES = [5, 3, 5, 63, 99], [9, 0, 4, 9, 10_000_000]
@@ -196,11 +200,12 @@ def _joined(c: str) -> F.Column:
 
 REGROUPED = """re AS (SELECT i.sample_id, i.feature_id, trace_len, coalesce(string_agg(CAST(ts AS VARCHAR), ',' ORDER BY point_idx), '') AS ts_list,
   coalesce(round(sum(value), 4), 0.0) AS value_sum FROM idx i LEFT JOIN pts p ON i.sample_id = p.sample_id AND i.feature_id = p.feature_id GROUP BY i.sample_id, i.feature_id, trace_len)"""
+
+
 def _value_sum() -> F.Column:
     return F.round(F.aggregate("value", F.lit(0.0), lambda a, x: a + x), 4)
 
 
-
 @register(f"WITH {fx.EVENTS}, {REGROUPED} SELECT *, true AS complete FROM re")
 def trace_regroup(spark, sf_dir):
     t = traces.regroup(*_traces(spark, sf_dir), ["ts", "value"])
@@ -371,3 +376,72 @@ def trace_length_check(spark, sf_dir):
 def coverage_check(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")
     return checks.coverage_gaps(e, "vec_id", e.count())
+
+
+def _scalar_set(spark, sf_dir):
+    raw, path = fx.cust_raw(spark, sf_dir), storage.scratch_path(spark, "scalar")
+    return scalar_store.build(raw, fx.cust_samples(spark, sf_dir), fx.cust_features(spark), path, ["y"], per_part=4)
+
+
+@register(f"""WITH {fx.CUST_RAW} SELECT CAST(f AS INT) AS feature_id, c_custkey AS sample_id, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS mask, round(value, 4) AS value, CAST(f // 4 AS INT) AS part_id
+  FROM (SELECT unnest(generate_series(0, 14)) AS f) CROSS JOIN customer LEFT JOIN cust ON feature_id = f AND sample_id = c_custkey""")
+def scalar_store_roundtrip(spark, sf_dir):
+    d = _scalar_set(spark, sf_dir).dense
+    return d.select("feature_id", "sample_id", F.col("mask").cast("int").alias("mask"), F.round(values.finite_or_null(F.col("value")), 4).alias("value"), "part_id")
+
+
+@register(f"WITH {SELECTED} SELECT feature_id, round(r2y, {DIGITS}) AS r2y FROM ranked ORDER BY r2y DESC NULLS LAST, feature_id LIMIT 5")
+def scalar_store_top(spark, sf_dir):
+    return rounded(_scalar_set(spark, sf_dir).top_features("y", 5).select("feature_id", "r2y"), "r2y")
+
+
+EVENT_SCHEMA = PointSchema((PointColumn("ts", "int64", "timestamp_ns"), PointColumn("value", "float64", "continuous")))
+
+
+def _trace_axes(spark, sf_dir):
+    n = fx.table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] + 1
+    features = spark.createDataFrame(list(enumerate(fx.EVENT_TYPES)), "feature_id int, feature_key string")
+    return spark.range(n).select(F.col("id").alias("sample_id")), features, n
+
+
+@register(f"WITH {fx.EVENTS}, {REGROUPED} SELECT sample_id, feature_id, trace_len, ts_list, value_sum FROM re")
+def trace_store_roundtrip(spark, sf_dir):
+    index, points = _traces(spark, sf_dir)
+    samples, features, _ = _trace_axes(spark, sf_dir)
+    found = trace_store.build(index, points, EVENT_SCHEMA, samples, features, storage.scratch_path(spark, "traces"))
+    t = traces.regroup(found.index, found.points, ["ts", "value"])
+    return t.select("sample_id", "feature_id", "trace_len", _joined("ts").alias("ts_list"), _value_sum().alias("value_sum"))
+
+
+@register(f"WITH {fx.EVENTS}, {REGROUPED} SELECT sample_id, feature_id, trace_len, CASE WHEN trace_len = 0 THEN 3 ELSE 1 END AS flags, ts_list, value_sum FROM re")
+def binary_blocks_roundtrip(spark, sf_dir):
+    index, points = _traces(spark, sf_dir)
+    _, features, n = _trace_axes(spark, sf_dir)
+    path = storage.scratch_path(spark, "blocks")
+    binary_blocks.write(index, points, EVENT_SCHEMA, n, len(fx.EVENT_TYPES), path, PER_BLOCK, codec="zstd")
+    t = binary_blocks.read(spark, path)
+    return t.select("sample_id", "feature_id", "trace_len", F.col("flags").cast("int").alias("flags"), _joined("ts").alias("ts_list"), _value_sum().alias("value_sum"))
+
+
+@register("""SELECT user_id AS sample_id, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS INT) AS feature_id, value, event_id FROM events""")
+def stream_ingest(spark, sf_dir):
+    """Events read as a stream, staged exactly once, and read back from the stage."""
+    root = storage.scratch_path(spark, "stream")
+    schema = fx.table(spark, sf_dir, "events").schema
+    staged = session.Session(spark, f"{root}/stage", {"cells": StructType([*RAW.fields, StructField("event_id", LongType())])})
+    feature = F.array_position(F.array(*[F.lit(t) for t in fx.EVENT_TYPES]), F.col("event_type")) - 1
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    cells = stream.select(F.col("user_id").alias("sample_id"), feature.cast("int").alias("feature_id"), "value", "event_id")
+    ingest.stage(cells, staged, lambda batch: {"cells": batch}, f"{root}/checkpoint").awaitTermination()
+    return staged.table("cells")
+
+
+@register("SELECT c_custkey AS sample_id FROM customer WHERE c_custkey % 3 = 2")
+def session_pending(spark, sf_dir):
+    """Two batches, one of them given twice, leave a third of the samples pending."""
+    staged = session.Session(spark, storage.scratch_path(spark, "session"), {"cells": RAW})
+    raw, samples = fx.cust_raw(spark, sf_dir), fx.cust_samples(spark, sf_dir).select("sample_id")
+    for k in (0, 1, 1):
+        mine = F.col("sample_id") % 3 == k
+        staged.write(f"third-{k}", samples.where(mine), cells=raw.where(mine))
+    return staged.pending(samples)
