@@ -197,6 +197,14 @@ def test_licences(spark):
     }
 
 
+def test_licence_ties_go_to_the_first_path(spark):
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY 4.0."
+    for a, b in ((mit, cc), (cc, mit)):
+        df = spark.createDataFrame([(1, "p/COPYING", a), (2, "p/LICENSE", b), (3, "p/x", "code")], "doc_id long, path string, text string")
+        got = {r["doc_id"]: (r["license"], round(r["score"], 6)) for r in licenses.scan_licenses(df).collect()}
+        assert got[3] == got[1] and got[1][1] == got[2][1] == 1.0
+
+
 def test_licence_query_finds_all_notices(spark, edge, empty):
     from tracegrid.llm.queries import op3_licenses
 
