@@ -46,6 +46,11 @@ def format_ns(ns: Column, logical: str, temporal_format: str = "iso") -> Column:
     return timestamp_iso(ns) if logical == "timestamp_ns" else timedelta_iso(ns)
 
 
+def format_ns_array(a: Column, logical: str, temporal_format: str = "iso") -> Column:
+    """format_ns for each element. The lambda takes one argument only: a second one would be given the element's place."""
+    return F.transform(a, lambda ns: format_ns(ns, logical, temporal_format))
+
+
 def to_ns(ts: Column) -> Column:
     """A timestamp (microseconds) as LONG nanoseconds."""
     return F.unix_micros(ts) * 1000

@@ -22,6 +22,14 @@ def category_dictionary(rows: DataFrame, label_col: str, order_col: str) -> Data
     return first.select("label", F.row_number().over(Window.orderBy("__first", "label")).cast("int").alias("code"))
 
 
+def extend_dictionary(dictionary: DataFrame, rows: DataFrame, label_col: str, order_col: str) -> DataFrame:
+    """(label, code): codes given before stay; labels that ``rows`` brings follow in the order in which they are first seen."""
+    fresh = rows.join(dictionary.select(F.col("label").alias("__label")), rows[label_col] == F.col("__label"), "left_anti")
+    last = dictionary.agg(F.coalesce(F.max("code"), F.lit(0)).alias("__last"))
+    added = category_dictionary(fresh, label_col, order_col).crossJoin(F.broadcast(last))  # one row
+    return dictionary.select("label", "code").unionByName(added.select("label", (F.col("code") + F.col("__last")).cast("int").alias("code")))
+
+
 def encode_category(rows: DataFrame, label_col: str, dictionary: DataFrame, code_col: str = "code") -> DataFrame:
     """Rows with the label's code: 0 for null. Labels that the dictionary lacks get null."""
     d = dictionary.select(F.col("label").alias("__label"), F.col("code").alias("__code"))

@@ -297,6 +297,15 @@ def categorical_decode(spark, sf_dir):
     return values.decode_category(rows, "code", _categories(spark, sf_dir)[1])
 
 
+@register("""WITH seen AS (SELECT event_type AS label, min(event_id) AS first, min(CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END) AS late FROM events GROUP BY 1)
+  SELECT label, CAST(row_number() OVER (ORDER BY late, first, label) AS INT) AS code FROM seen""")
+def categorical_extend(spark, sf_dir):
+    """A dictionary of two labels is kept and extended by those that come later."""
+    rows = fx.table(spark, sf_dir, "events")
+    first = values.category_dictionary(rows.where(F.col("event_type").isin("click", "view")), "event_type", "event_id")
+    return values.extend_dictionary(first, rows, "event_type", "event_id")
+
+
 @register("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) % 1000000 * 1000 + event_id % 1000 AS VARCHAR), 9, '0') AS iso FROM events")
 def timestamp_iso(spark, sf_dir):
     ns = temporal.ntz_to_ns(F.col("ts")) + F.col("event_id") % 1000
@@ -445,3 +454,15 @@ def session_pending(spark, sf_dir):
         mine = F.col("sample_id") % 3 == k
         staged.write(f"third-{k}", samples.where(mine), cells=raw.where(mine))
     return staged.pending(samples)
+
+
+@register(f"WITH {fx.CUST_RAW} SELECT sample_id, feature_id, round(value, 4) AS value FROM cust")
+def session_compact(spark, sf_dir):
+    """Cells staged in three batches, compacted into one and read back."""
+    staged = session.Session(spark, storage.scratch_path(spark, "session"), {"cells": RAW})
+    raw, samples = fx.cust_raw(spark, sf_dir), fx.cust_samples(spark, sf_dir).select("sample_id")
+    for k in range(3):
+        mine = F.col("sample_id") % 3 == k
+        staged.write(f"third-{k}", samples.where(mine), cells=raw.where(mine))
+    staged.compact("merged", samples, cleanup=True)
+    return rounded(staged.table("cells"), "value", digits=4)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tracegrid import axes
 from tracegrid.errors import DataError, RequestError
-from tracegrid.functions.temporal import format_ns
+from tracegrid.functions.temporal import format_ns_array
 from tracegrid.functions.values import finite_or_null_array, in_unsigned_range
 from tracegrid.operators import checks, traces
 from tracegrid.schema import TRACE_INDEX, UNSIGNED, PointColumn, PointSchema
@@ -117,7 +117,7 @@ class TraceDataset:
         out = traces.get_traces(self._pruned(self.index, s), self._pruned(self.points, s), self.point_schema.names, s, f, include_missing, max_traces)
         for c in self.point_schema.columns:
             if c.logical in ("timestamp_ns", "timedelta_ns"):
-                out = out.withColumn(c.name, F.transform(c.name, lambda x, k=c.logical: format_ns(x, k, temporal_format)))
+                out = out.withColumn(c.name, format_ns_array(F.col(c.name), c.logical, temporal_format))
             elif finite and c.storage == "float64":
                 out = out.withColumn(c.name, finite_or_null_array(F.col(c.name)))
         return out
