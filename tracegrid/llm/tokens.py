@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Callable
 from string import punctuation
@@ -56,7 +57,7 @@ def _by_words(text: str) -> list[str] | None:
 
 def _plain_word(piece: str) -> str | None:
     """A word as the vocabulary's normalizer leaves it: composed, then lower-cased by single characters. None: not a plain word."""
-    word = "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
+    word = piece.lower() if piece.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", piece)))
     return word if word.isalpha() else None
 
 
@@ -75,6 +76,9 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+
     def _learn(self, pieces: set[str]) -> None:
         """Both pre-tokenizers part letters from the ASCII punctuation that closes a piece, so a word need not be learned with each."""
         closed = [(p, len(p.rstrip(punctuation))) for p in pieces if p[-1] in punctuation]
@@ -90,10 +94,12 @@ class PieceEncoder:
             elif word in self.known:
                 self.known[p] = self.known[word]
             else:
-                ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]
-                self.known[p] = self.known[word] = np.array(ids, self.dtype).tobytes()
+                # the signs of ASCII letters are those letters
+                signs = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+                ids = [t.id for t in self.tokenizer.model.tokenize(signs)]
+                self.known[p] = self.known[word] = self._pack(ids)
         for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.known[p] = np.array(e.ids, self.dtype).tobytes()
+            self.known[p] = self._pack(e.ids)
         for p, n in closed:
             self.known[p] = self.known[p[:n]] + self.known[p[n:]]
 
