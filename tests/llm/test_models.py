@@ -176,6 +176,19 @@ def test_hot_items_keep_their_seeds(spark):
     assert decontamination.find_contamination(docs, bench).count() == 50
 
 
+@pytest.mark.parametrize("exact", [0, 1])
+def test_edited_items_in_many_documents(spark, exact):
+    """One edited copy in hundreds of documents, with or without a whole copy elsewhere, against plain alignment."""
+    words = [f"w{k}" for k in range(40)]
+    edited = [f"x{k}" if k % 4 == 3 and k < 24 else w for k, w in enumerate(words)]
+    texts = [f"{i} {' '.join(edited)} {i}" for i in range(400)] + [" ".join(words)] * exact + [f"{i} w0 w1 w2 {i}" for i in range(200)]
+    want = {i for i, t in enumerate(texts) if plain_alignment(words, t.split()) >= len(words)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"] for r in decontamination.find_contamination(docs, bench).collect()}
+    assert got == want and len(want) == 400 + exact
+
+
 def test_licences(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),

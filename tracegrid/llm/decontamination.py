@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
 Words are runs of letters and digits, lower-cased. Every n-gram of words of a test item is a seed (3 words; an item
-with fewer is one seed of its own length). One pass over the texts finds all occurrences of seeds, gathers those of
-one item that lie near each other into passages, and counts in how many documents each seed occurs, over all of
-them. A seed is rare unless it occurs in more documents than RARE of them all (COMMON at the least) and OWN times
-the lower quartile of its item's seeds together, so that an item that leaked everywhere keeps its seeds. Passages with a rare seed are aligned with their item
-(match +2, mismatch -1, gap -1); the score is the best local alignment's over that of the whole item. Passages whose
-words cannot reach the threshold, whatever their order, are not aligned. Documents from THRESHOLD on are contaminated.
+with fewer is one seed of its own length). One pass over the texts finds all occurrences of seeds and gathers those
+of one item that lie near each other into passages. A seed counts however often it occurs: no frequency tells an
+edited copy that leaked everywhere from a common phrase, so none is a reason to pass over a passage. Passages are
+aligned with their item (match +2, mismatch -1, gap -1); the score is the best local alignment's over that of the
+whole item. Passages whose words cannot reach the threshold, whatever their order, are not aligned: that bound, which
+loses nothing, keeps common phrases cheap. Documents from THRESHOLD on are contaminated.
 
 Items are taken in blocks of at most BLOCK_SEEDS seeds, each block sent to the executors, one pass a block: what is
 broadcast is bounded, whatever the benchmark's size. Null and empty texts, on either side, match nothing. Repeated
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tracegrid.llm.common import materialise, ship
 
-SIZE, RARE, COMMON, OWN, THRESHOLD, BLOCK_SEEDS = 3, 0.001, 100, 4, 0.5, 500_000
+SIZE, THRESHOLD, BLOCK_SEEDS = 3, 0.5, 500_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
 
@@ -87,18 +87,8 @@ class Seeds:
             key, ok = key * self.base + part + 1, ok & (part >= 0)
         return np.where(ok, key, 0)
 
-    def name(self, size: int, key: int) -> int:
-        return key * SIZE + size - 1
-
-    def item_seeds(self) -> dict[int, list[int]]:
-        out: dict[int, list[int]] = {}
-        for size, keys, items in self.tables:
-            for k, i in zip(keys.tolist(), items.tolist()):
-                out.setdefault(i, []).append(self.name(size, k))
-        return out
-
-    def occurrences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, position, seed) of all seeds in a text."""
+    def occurrences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position) of all seeds in a text."""
         ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
         out = []
         for size, keys, items in self.tables:
@@ -108,25 +98,25 @@ class Seeds:
             n = hi - lo
             if n.sum():
                 pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append((items[pick], np.repeat(at, n), np.repeat(own[at] * SIZE + size - 1, n)))
+                out.append((items[pick], np.repeat(at, n)))
         if not out:
-            return (np.zeros(0, np.int64),) * 3
+            return (np.zeros(0, np.int64),) * 2
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _passages(words: list[str], item: np.ndarray, at: np.ndarray, seed: np.ndarray, lengths: dict[int, int]) -> Iterator[tuple]:
-    """(item, first word, words, seeds): occurrences of one item within its length of each other, with as much around them."""
+def _passages(words: list[str], item: np.ndarray, at: np.ndarray, lengths: dict[int, int]) -> Iterator[tuple]:
+    """(item, first word, words): occurrences of one item within its length of each other, with as much around them."""
     order = np.lexsort((at, item))
-    item, at, seed = item[order], at[order], seed[order]
+    item, at = item[order], at[order]
     reach = np.array([lengths[i] for i in item.tolist()])
     cuts = np.flatnonzero((np.diff(item) != 0) | (np.diff(at) > reach[1:])) + 1
-    for i, p, s in zip(np.split(item, cuts), np.split(at, cuts), np.split(seed, cuts)):
+    for i, p in zip(np.split(item, cuts), np.split(at, cuts)):
         r = lengths[int(i[0])]
         first, last = max(0, int(p[0]) - r), int(p[-1]) + r + SIZE
-        yield int(i[0]), first, words[first:last], np.unique(s)
+        yield int(i[0]), first, words[first:last]
 
 
-FOUND = "doc_id long, item int, first long, words string, seeds array<long>"
+FOUND = "doc_id long, item int, first long, words string"
 
 
 def _find(sent) -> object:
@@ -137,13 +127,13 @@ def _find(sent) -> object:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = words_of(text)
-                item, at, seed = seeds.occurrences(words)
+                item, at = seeds.occurrences(words)
                 if len(item):
-                    rows += [(doc, i, first, " ".join(w), s.tolist()) for i, first, w, s in _passages(words, item, at, seed, lengths)]
+                    rows += [(doc, i, first, " ".join(w)) for i, first, w in _passages(words, item, at, lengths)]
             if rows:
                 cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item", "first", "words", "seeds"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item", "first", "words"])
 
     return run
 
@@ -151,14 +141,12 @@ def _find(sent) -> object:
 MATCHES = "doc_id long, item_id long, score double, first_word long, last_word long, passage string"
 
 
-def _score(sent, rare, threshold: float) -> object:
+def _score(sent, threshold: float) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: Seeds = sent.value
         for b in batches:
             rows = []
-            for doc, i, first, text, own in zip(*(c.to_pylist() for c in b.columns)):
-                if rare.value.isdisjoint(own):
-                    continue
+            for doc, i, first, text in zip(*(c.to_pylist() for c in b.columns)):
                 words, item = text.split(" "), seeds.ids[i]
                 ids = np.fromiter(map(seeds.number.get, words, repeat(-1)), np.int64, len(words))
                 full = MATCH * len(item)
@@ -191,7 +179,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, rare_share: float = RARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, passage): the best passage for each contaminated pair.
 
@@ -205,14 +193,7 @@ def find_contamination(
         seeds = Seeds(block)
         sent = spark.sparkContext.broadcast(seeds)
         found = materialise(rows.mapInArrow(_find(sent), FOUND), "passages")
-        # at most BLOCK_SEEDS counts, over all documents
-        n_docs = docs.count()
-        counts = {r["seed"]: r["n"] for r in found.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).collect()}
-        rare = set()
-        for own in seeds.item_seeds().values():
-            quartile = sorted(counts.get(s, 0) for s in own)[len(own) // 4]
-            rare |= {s for s in own if counts.get(s, 0) <= max(COMMON, rare_share * n_docs) + OWN * quartile}
-        scored = found.mapInArrow(_score(sent, spark.sparkContext.broadcast(rare), threshold), MATCHES)
+        scored = found.mapInArrow(_score(sent, threshold), MATCHES)
         out = scored if out is None else out.unionByName(scored)
     if out is None:
         return spark.createDataFrame([], MATCHES)
