@@ -189,6 +189,17 @@ def test_edited_items_in_many_documents(spark, exact):
     assert got == want and len(want) == 400 + exact
 
 
+def test_repeats_in_one_document_lose_no_other(spark):
+    """An edited passage 150 times in one document and once in another; an item under 150 ids."""
+    words = [f"w{k}" for k in range(40)]
+    edited = " ".join("x" if k % 4 == 3 and k < 24 else w for k, w in enumerate(words))
+    for times, ids in ((150, 1), (1, 150)):
+        docs = spark.createDataFrame([(1, (edited + " y" * 100 + " ") * times), (2, f"a {edited} b")], "doc_id long, text string")
+        bench = spark.createDataFrame([(i, " ".join(words)) for i in range(ids)], "item_id long, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_contamination(docs, bench).collect()}
+        assert got == {(d, i) for d in (1, 2) for i in range(ids)}
+
+
 def test_licences(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
