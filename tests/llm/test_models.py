@@ -221,6 +221,26 @@ def test_licences(spark):
     }
 
 
+HEADERS = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met.\n1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\nthis list of conditions and the following disclaimer in the documentation.\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from this\nsoftware without specific prior written permission.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software and associated documentation files, to deal\nin the Software without restriction",
+}
+
+
+@pytest.mark.parametrize("name", HEADERS)
+@pytest.mark.parametrize("mark,end", [("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("// ", " ")])
+def test_wrapped_headers_in_long_paragraphs(name, mark, end):
+    """A header wrapped over lines, or within one line of 100 kB, with code right above and below it."""
+    code = [f"value{i} = compute(value{i + 1}, other{i % 7})" for i in range(1600)]
+    lines = code + [mark + x for x in HEADERS[name].split("\n")] + code
+    text = end.join(lines)
+    assert len(text) > 100_000 and "\n\n" not in text
+    score, found = licenses.Templates(licenses.TEMPLATES).scan(text, False)
+    assert found == name and score >= licenses.THRESHOLD, (found, score)
+
+
 def test_licence_ties_go_to_the_first_path(spark):
     mit, cc = "Released under the MIT License.", "Licensed under CC BY 4.0."
     for a, b in ((mit, cc), (cc, mit)):
