@@ -32,6 +32,19 @@ def test_dedup_edges(spark, edge, empty):
     assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {2, 3, 5, 6, 7, 8, 9, 10, 11, None}
 
 
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([(None, "A"), (1, "a"), (None, "b"), (None, "b")], [(1, "a"), (None, "b")]),  # null loses to any id
+        ([(1, "a"), (1, "a"), (2, "b")], [(1, "a"), (2, "b")]),  # repeated rows
+        ([(1, "a"), (1, "only here"), (2, "a")], [(1, "only here"), (2, "a")]),  # one id, two texts
+    ],
+)
+def test_dedup_by_id_and_text(spark, rows, want):
+    got = exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_index_lasts(spark):
     path = scratch_path(spark, "i")
     first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")

@@ -1,8 +1,9 @@
 """Exact deduplication against a persistent digest index, bucketed and sorted by hash. DataFrame functions only.
 
 Empty table: empty results, and the index stays as it is. Null text counts as empty text. Rows that repeat a
-doc_id with an equal text are one document: they stay or go together. A null doc_id loses to any other id; where
-a text has only null ids, those rows stay. Other columns are ignored by the report and passed on by the filter.
+doc_id with an equal text are one document: the report judges them alike, the filter passes one of them on. A doc_id
+that comes with several texts is judged by each text. A null doc_id loses to any other id; where a text has only null
+ids, the report keeps those rows and the filter passes one on. Other columns are ignored by the report and passed on.
 """
 
 from __future__ import annotations
@@ -69,7 +70,14 @@ def dedup_report(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", te
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. doc_id identifies a document."""
+    """The rows of docs that stay, with all their columns; of rows that repeat a doc_id (or lack one) and a text, any one."""
     index = index or DigestIndex(docs.sparkSession, scratch_path(docs.sparkSession, "digest-index"))
-    gone = dedup_report(docs, index, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    found = dedup_report(docs, index, id_col, text_col).groupBy("doc_id", "digest").agg(F.max("kept").alias("__kept"), F.count("*").alias("n"))
+    marked = materialise(found.where("not __kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__kept"), "marked")
+    rows = docs.withColumn("__own_digest", text_digest(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_digest") == F.col("__digest"))
+    out = rows.join(marked, same, "left_anti")
+    repeats = marked.where("__kept")
+    if not repeats.isEmpty():
+        out = out.unionByName(rows.join(repeats, same, "left_semi").dropDuplicates([id_col, "__own_digest"]))
+    return out.drop("__own_digest")
