@@ -18,9 +18,7 @@ KINDS = [("byte_bpe_50k.json", "space"), ("word_bpe_49k.json", "words")]
 
 @functools.cache
 def library(name):
-    t = Tokenizer.from_file(tokens.vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.vocabulary(name))  # on its default settings
 
 
 def crc(ids):
@@ -34,6 +32,17 @@ def test_pieces_give_the_ids_of_whole_texts(name, cut, text):
     assert tokens.encoder(tokens.vocabulary(name), cut).encode([text])[0].tolist() == library(name).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name,cut", KINDS)
+def test_ids_of_random_texts(name, cut):
+    """Added tokens, letters whose lower case is a letter and a mark, marks and punctuation, side by side."""
+    r = random.Random(11)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "|>", "İ", "i\u0307", "ǰ", "ẞ", "\u0307", "\u0301", "e", "Straße", "hello", "World", " ", "  ", "\n", "!", "?!", "...", "'s", "'", '"', "<", "1", "²", "Σ", "ς", "世界", "\U0001f600"]
+    texts = ["hello <|endoftext|> world", "İ!", "İ"] + ["".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(100_000)]
+    got = tokens.encoder(tokens.vocabulary(name), cut).encode(texts)
+    want = library(name).encode_batch(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want) if g.tolist() != w.ids] == []
+
+
 @pytest.mark.parametrize("name,cut", KINDS)
 def test_ids_of_documents(spark, sf, name, cut):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["it's we'll  <|endoftext|> x", None, ""]
@@ -97,6 +106,12 @@ def test_packer_limits():
     assert len(got) == 2000
 
 
+@pytest.mark.parametrize("wrong", [{"tokens": 0}, {"segments": 0}, {"loss": 0}, {"loss": -1}])
+def test_limits_that_hold_nothing(wrong):
+    with pytest.raises(ValueError):
+        packing.Limits(**wrong)
+
+
 def test_prompts_bear_no_loss(spark):
     df = spark.createDataFrame([(1, "answer here", "a question"), (2, None, None)], "doc_id long, text string, prompt string")
     rows = {r["doc_id"]: r for r in packing.pack(df, prompt_col="prompt", keep_ids=True).collect()}

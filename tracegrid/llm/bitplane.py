@@ -8,13 +8,15 @@ compressed planes, the low-order one first; 8 times as many for bit planes), and
 The chunk rows are the chunk index: a reader finds ids by (shard, first) and prunes by column statistics. Shards follow one
 another in ascending doc_id order.
 
-Null and empty texts hold the end id alone. Repeated rows are written each, next to each other. Null doc_ids come
-first. An empty table makes a file set without chunks. Other columns are ignored. A very long text spans chunks.
+Null and empty texts hold the end id alone. Repeated rows are written each, next to each other; rows of one doc_id with
+unequal texts in any order. Null doc_ids come first. An empty table makes a file set without chunks. Other columns,
+whatever their names, are ignored. A very long text spans chunks.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -55,12 +57,23 @@ def _chunks(vocab: str, cut: str, end_id: int, block: int, bits: bool) -> Callab
         shard = task.partitionId() if task else 0
         encode = encoder(vocabulary(vocab), cut)
         end = np.array([end_id], encode.dtype)
-        held, n_held, docs, at, first, chunk = [], 0, [], 0, 0, 0
+        held, n_held, docs, at, first, chunk = deque(), 0, [], 0, 0, 0
+
+        def taken_ids(n: int) -> np.ndarray:
+            """The first n held ids; what is left of the array that they end in is a view of it, not a copy."""
+            parts, missing = [], n
+            while missing:
+                part = held.popleft()
+                if len(part) > missing:
+                    held.appendleft(part[missing:])
+                    part = part[:missing]
+                parts.append(part)
+                missing -= len(part)
+            return np.concatenate(parts)
 
         def taken(n: int) -> pa.RecordBatch:
-            nonlocal held, n_held, docs, first, chunk
-            ids = np.concatenate(held)
-            ids, rest = ids[:n], ids[n:]
+            nonlocal n_held, docs, first, chunk
+            ids = taken_ids(n)
             inside, later = [], []
             for doc, start, begin, length in docs:  # begin: of the document's ids, the first that is held
                 got = min(length, first + n - (start + begin))
@@ -69,7 +82,7 @@ def _chunks(vocab: str, cut: str, end_id: int, block: int, bits: bool) -> Callab
                     later.append((doc, start, begin + got, length - got))
             row = {"shard": shard, "chunk": chunk, "first": first, "n_ids": n, "width": encode.dtype.itemsize, "planes": to_planes(ids, bits)}
             row |= {k: [x[i] for x in inside] for i, k in enumerate(("doc_id", "doc_start", "doc_from", "doc_ids"))}
-            held, n_held, docs, first, chunk = [rest], len(rest), later, first + n, chunk + 1
+            n_held, docs, first, chunk = n_held - n, later, first + n, chunk + 1
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _SCHEMA], schema=_SCHEMA)
 
         for b in batches:

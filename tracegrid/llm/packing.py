@@ -6,8 +6,9 @@ the largest dot product with what the bin has left (both as shares of the limits
 fits, a rest is cut to fill the gap. A task's last bin is cut into sequences with power-of-two lengths, which need
 no padding. A bin that meets a limit on segments or loss before it is full is the only one with padding.
 
-Null and empty texts are documents of the end id alone. Copies and repeated rows are packed each. An empty table
-gives no rows. Other columns are ignored. A very long text is cut into as many sequences as it takes.
+Null and empty texts are documents of the end id alone. Copies and repeated rows are packed each; a null doc_id stays
+null. Of rests with equal dot products the one that came first is placed. An empty table gives no rows. Other columns,
+whatever their names, are ignored. A very long text is cut into as many sequences as it takes.
 """
 
 from __future__ import annotations
@@ -28,10 +29,16 @@ from tracegrid.llm.tokens import encoder, vocabulary
 
 @dataclass(frozen=True)
 class Limits:
+    """What one sequence may hold; each limit is at least 1, or no sequence could hold anything."""
+
     tokens: int = 1024
     segments: int = 256
     loss: int = 1024
 
+    def __post_init__(self) -> None:
+        if min(self.tokens, self.segments, self.loss) < 1:
+            raise ValueError(f"limits below 1 hold nothing: {self}")
+
 
 #: Rests that wait at once in a task; at most this many times 1 sequence of ids is held.
 POOL = 512

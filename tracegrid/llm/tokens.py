@@ -2,7 +2,9 @@
 
 Byte-pair encoding works within the pieces that the pre-tokenizer cuts, so the ids of a text are those of its pieces
 in a row. Texts are cut only where the pre-tokenizer is sure to cut as well, and each distinct piece goes through the
-library once for as long as it is remembered. Tests compare the result with the library's for whole texts.
+library once for as long as it is remembered. A text that may hold an added token (its first two characters, such as
+`<|`, occur) goes to the library whole, on the library's default settings: the token's own id comes out where the
+text spells it. Tests compare the result with the library's for whole texts.
 """
 
 from __future__ import annotations
@@ -71,8 +73,9 @@ class PieceEncoder:
 
     def __init__(self, path: str, cut: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cut, self._word = CUTS[cut], WORDS[cut]
+        added = {re.escape(t.content[:2]) for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self._added = re.compile("|".join(sorted(added)) or r"(?!)", re.IGNORECASE)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
 
@@ -82,7 +85,8 @@ class PieceEncoder:
     def _learn(self, pieces: set[str]) -> None:
         """Both pre-tokenizers part letters from the ASCII punctuation that closes a piece, so a word need not be learned with each."""
         closed = [(p, len(p.rstrip(punctuation))) for p in pieces if p[-1] in punctuation]
-        closed = [(p, n) for p, n in closed if p[:n].lstrip(" ").isalpha()]
+        # as normalised: what lower-casing leaves of a letter may be a mark, which joins the punctuation
+        closed = [(p, n) for p, n in closed if n and self._word(p[:n]) is not None]
         pieces = pieces.difference([p for p, _ in closed]).union([p[:n] for p, n in closed], [p[n:] for p, n in closed])
         other = []
         for p in pieces:
@@ -106,7 +110,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
         for text in texts:
-            pieces = self.cut(text or "")
+            pieces = None if text and self._added.search(text) else self.cut(text or "")
             if pieces is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, self.dtype))
