@@ -4,12 +4,16 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracegrid.llm import simhash
+from tracegrid.llm import similar, simhash
 from tracegrid.llm.components import connected_components
 
 
+def plain_words(text):
+    return bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+
+
 def plain_fingerprint(text):
-    words = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()).split()
+    words = plain_words(text)
     shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
     hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
@@ -58,24 +62,38 @@ def brute(fps):
     return [(i, j) for i in range(len(a)) for j in i + 1 + np.flatnonzero(np.bitwise_count(a[i + 1 :] ^ a[i]) <= 3)]
 
 
-@pytest.mark.parametrize("short,long", [(16, 16384), (2, 16384), (2, 3)])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, short, long):
-    fps = clustered(500)
-    rows = [(simhash._signed(f), i) for i, f in enumerate(fps)]
-    monkeypatch.setattr(simhash, "SHORT", short)
-    monkeypatch.setattr(simhash._long_run, "__defaults__", (long,))
-    import pyarrow as pa
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
 
-    keys = []
-    for f, rep in rows:
-        for c, combo in enumerate(simhash.COMBOS):
-            masked = (f & ((1 << 64) - 1)) & sum(0xFF << 8 * p for p in combo)
-            keys.append((simhash._signed(xxhash.xxh64_intdigest(masked.to_bytes(8, "little")) & ~63 | c), f, rep))
-    keys.sort()
-    batches = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*keys[i : i + 97])], names=["key", "fp", "rep"]) for i in range(0, len(keys), 97)]
-    found = [(u, v) for b in simhash._links(iter(batches)) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert all(bin(fps[u] ^ fps[v]).count("1") <= 3 for u, v in found)
-    assert plain_components(range(len(fps)), found) == plain_components(range(len(fps)), brute(fps))
+def test_every_pair_meets_in_a_posting():
+    assert (simhash._CANON[np.bitwise_count(np.arange(256, dtype=np.uint8)) >= simhash.NEEDED] >= 0).all()
+
+
+@pytest.mark.parametrize("short,hot", [(16, 1 << 16), (2, 1 << 16), (2, 5), (2, 2)])
+def test_links_connect_what_brute_force_connects(spark, monkeypatch, short, hot):
+    """By both indexes, and by the table of open bits where hot is small."""
+    fps = clustered(300)
+    place = {signed(f): i for i, f in enumerate(fps)}
+    monkeypatch.setattr(simhash, "SHORT", short)
+    found = simhash.links(spark.createDataFrame([(f,) for f in place], "fp long").repartition(5), hot=hot).collect()
+    pairs = [(place[r["u"]], place[r["v"]]) for r in found]
+    assert hot <= 5 or all(bin(fps[u] ^ fps[v]).count("1") <= 3 for u, v in pairs)
+    assert plain_components(range(len(fps)), pairs) == plain_components(range(len(fps)), brute(fps))
+
+
+@pytest.mark.parametrize("five", [0, 17, 55])
+def test_table_of_open_bits(five):
+    r = random.Random(five)
+    free = [p for p in range(8) if p not in simhash.FIVES[five]]
+    base = r.getrandbits(64) & ~sum(255 << 8 * p for p in free)
+    fps = sorted({base | sum(r.choice([0, 1, 3, 7, 255, 128, 99]) << 8 * p for p in free) for _ in range(200)})
+    table = simhash.OpenBits(five)
+    for k in range(0, len(fps), 33):
+        table.add(np.array(fps[k : k + 33], np.uint64))
+    place = {f: i for i, f in enumerate(fps)}
+    pairs = [(place[int(u)], place[int(v)]) for a, b in table.links(block=41) for u, v in zip(a, b)]
+    assert plain_components(range(len(fps)), pairs) == plain_components(range(len(fps)), brute(fps))
 
 
 def test_near_duplicates(spark, sf):
@@ -85,14 +103,87 @@ def test_near_duplicates(spark, sf):
     want = plain_components([r["doc_id"] for r in rows], [(rows[i]["doc_id"], rows[j]["doc_id"]) for i, j in brute(fps)])
     got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     assert got == {r["doc_id"]: (f, want[r["doc_id"]]) for r, f in zip(rows, fps)}
-    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == set(want.values())
 
 
 def test_edges_of_input(spark, edge, empty):
     got = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(edge).collect()]
     assert len(got) == edge.count()
     assert dict(x for x in got if x[0] in (1, 2, 3)) == {1: 1, 2: 1, 3: 1}
-    assert dict(got)[5] == 4 and simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).columns == edge.columns
+    assert dict(got)[5] == 4 and simhash.near_duplicates(empty).count() == 0
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    rows = [(7, "one two three four"), (7, "five six seven eight"), (8, "FIVE six seven eight"), (None, "one two three four"), (None, "nine ten")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((repr(r["doc_id"]), repr(r["component_id"])) for r in got) == [("7", "7"), ("7", "7"), ("8", "7"), ("None", "7"), ("None", "None")]
+
+
+def shingle_set(text):
+    words = plain_words(text)
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_near(rows):
+    """Rows that go: (doc_id, text) linked to a row with a smaller doc_id, null last, by five-word Jaccard of 0.8 or more."""
+    sets = [shingle_set(t) for _, t in rows]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    pairs = {(i, j) for h in holders.values() for i in h for j in h if i < j}
+    links = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    group = plain_components(range(len(rows)), links)
+    best = {}
+    for i, (d, _) in enumerate(rows):
+        key = (d is None, d or 0)
+        if group[i] not in best or key < best[group[i]][0]:
+            best[group[i]] = (key, rows[i])
+    return [r for i, r in enumerate(rows) if best[group[i]][1] != r]
+
+
+@pytest.mark.parametrize("scale", ["0.001", "0.01"])
+def test_near_copies_against_all_pairs(spark, scale):
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    want = {d for d, _ in plain_near(rows)}
+    gone = {r["doc_id"] for r in similar.near_copies(docs).collect()}
+    assert gone <= want and len(gone) >= 0.95 * len(want)
+    assert {r["doc_id"] for r in similar.keep_one(docs).collect()} == {d for d, _ in rows} - gone
+
+
+def edited(words, rate, r):
+    return [f"z{r.random()}" if r.random() < rate else w for w in words]
+
+
+@pytest.mark.parametrize("hot,block", [(similar.HOT, similar.BLOCK), (3, 6000)])
+def test_planted_near_copies(spark, hot, block):
+    """Bases with copies of one word in 100 to 30 edited, a large family whose members meet only through their base, and texts apart."""
+    r, rows = random.Random(4), []
+    add = lambda words: rows.append((len(rows), " ".join(words)))
+    for k in range(120):
+        base = [f"w{k}x{r.randrange(400)}" for _ in range(r.choice([40, 150, 400]))]
+        add(base)
+        for _ in range(r.choice([0, 1, 3])):
+            add(edited(base, r.choice([0.01, 0.02, 0.03]), r))
+    base = [f"v{r.randrange(400)}" for _ in range(300)]
+    for _ in range(80):
+        add(edited(base, 0.018, r))
+    add(base)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {d for d, _ in plain_near(rows)}
+    gone = {x["doc_id"] for x in similar.near_copies(docs, hot=hot, block=block).collect()}
+    assert gone <= want and len(gone) >= 0.97 * len(want) > 100
+
+
+def test_near_copies_of_edges(spark, edge, empty):
+    kept = similar.keep_one(edge)
+    got = sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect())
+    assert kept.columns == edge.columns and got == [(False, d) for d in (1, 4, 6, 7, 8, 9, 9, 10, 11)] + [(True, None)]
+    assert similar.keep_one(empty).count() == 0
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(7, "unlike any other text"), (7, text), (9, text.upper()), (None, text), (9, "unlike this one too"), (None, "alone"), (3, text + " more")]
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, node long, __gone long, __id long")
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in similar.keep_one(docs).collect()) == sorted((repr(d), t) for d, t in (rows[0], rows[4], rows[5], rows[6]))
 
 
 @pytest.mark.parametrize("pairs", [[], [(1, 1)], [(1, 2), (2, 3), (9, 8), (5, 5)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)]])

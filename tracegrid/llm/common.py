@@ -65,6 +65,11 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def text_key(text: Column) -> Column:
+    """XXH64 of a text (null: empty): with the id, what tells a row from others under the same id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
