@@ -9,6 +9,7 @@ text spells it. Tests compare the result with the library's for whole texts.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import struct
@@ -22,8 +23,9 @@ from tokenizers import Tokenizer
 #: A worker is one task's; the library's own threads would only wait for each other.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces remembered by one Python worker; beyond that all are forgotten. About 200 bytes each.
-REMEMBERED = 1_200_000
+#: Pieces remembered by one Python worker in two generations of half as many each; a full one takes the place of the
+#: older one, whose pieces are taken over when met again. About 170 bytes each.
+REMEMBERED = 600_000
 
 #: White space other than blank and line feed, and code points that regular-expression libraries class differently.
 _ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2060\\u3000\\ufeff]")
@@ -40,7 +42,12 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-BYTE_SIGNS = _byte_signs()
+BYTE_SIGNS = "".join(_byte_signs()[b] for b in range(256))
+
+
+def _signs(word: str) -> str:
+    """The signs of a word's bytes. The signs of ASCII letters are those letters."""
+    return word.replace(" ", BYTE_SIGNS[0x20]) if word.isascii() else codecs.charmap_decode(word.encode(), "strict", BYTE_SIGNS)[0]
 
 
 def _by_space(text: str) -> list[str] | None:
@@ -77,35 +84,40 @@ class PieceEncoder:
         added = {re.escape(t.content[:2]) for t in self.tokenizer.get_added_tokens_decoder().values()}
         self._added = re.compile("|".join(sorted(added)) or r"(?!)", re.IGNORECASE)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.dtype.itemsize == 2 else 'I'}", *ids)
+        return struct.pack(f"<{len(ids)}{self._code}", *ids)
+
+    def _library(self, piece: str) -> bytes:
+        return self._pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Both pre-tokenizers part letters from the ASCII punctuation that closes a piece, so a word need not be learned with each."""
-        closed = [(p, len(p.rstrip(punctuation))) for p in pieces if p[-1] in punctuation]
-        # as normalised: what lower-casing leaves of a letter may be a mark, which joins the punctuation
-        closed = [(p, n) for p, n in closed if n and self._word(p[:n]) is not None]
-        pieces = pieces.difference([p for p, _ in closed]).union([p[:n] for p, n in closed], [p[n:] for p, n in closed])
-        other = []
+        known, old, tokenize = self.known, self.old, self.tokenizer.model.tokenize
         for p in pieces:
-            if p in self.known:
+            if p in known:
                 continue
-            word = self._word(p)
+            if p in old:
+                known[p] = old[p]
+                continue
+            core = p.rstrip(punctuation)
+            # as normalised: what lower-casing leaves of a letter may be a mark, which joins the punctuation
+            word = self._word(core) if core else None
             if word is None:
-                other.append(p)
-            elif word in self.known:
-                self.known[p] = self.known[word]
-            else:
-                # the signs of ASCII letters are those letters
-                signs = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
-                ids = [t.id for t in self.tokenizer.model.tokenize(signs)]
-                self.known[p] = self.known[word] = self._pack(ids)
-        for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False)):
-            self.known[p] = self._pack(e.ids)
-        for p, n in closed:
-            self.known[p] = self.known[p[:n]] + self.known[p[n:]]
+                known[p] = self._library(p)
+                continue
+            ids = known.get(word) or old.get(word)
+            if ids is None:
+                ids = known[word] = self._pack([t.id for t in tokenize(_signs(word))])
+            if len(core) < len(p):
+                closing = p[len(core) :]
+                if closing not in known:
+                    known[closing] = self._library(closing)
+                ids = ids + known[closing]
+            known[p] = ids
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         out = []
@@ -118,9 +130,9 @@ class PieceEncoder:
             try:
                 raw = b"".join(map(self.known.__getitem__, pieces))
             except KeyError:
-                if len(self.known) > REMEMBERED:
-                    self.known = {"": b""}
-                self._learn({p for p in pieces if p not in self.known})
+                if len(self.known) > REMEMBERED // 2:
+                    self.old, self.known = self.known, {"": b""}
+                self._learn(pieces)
                 raw = b"".join(map(self.known.__getitem__, pieces))
             out.append(np.frombuffer(raw, self.dtype))
         return out
