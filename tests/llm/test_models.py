@@ -21,9 +21,43 @@ def test_language_query(spark):
     assert np.mean(out) > 0.97 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def plain_bucket(gram):
+    """The bucket of an n-gram of letters and blanks, by whole numbers modulo 2**32."""
+    mix, cut = [int(x) for x in langid._MIX], (1 << 32) - 1
+    h = ord(gram[0]) * mix[0] & cut
+    for c in gram[1:]:
+        h = ((h ^ h >> 15) * mix[1] + ord(c) * mix[2]) & cut
+    return ((h ^ h >> 13) * mix[len(gram) - 1] & cut) >> 32 - langid.BUCKET_BITS
+
+
+def plain_grams(text):
+    t = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()}  ")
+    grams = [t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - 2)]
+    return [plain_bucket(g) for g in grams if g.strip() and len(g)]
+
+
 def plain_scores(model, text):
-    points, letter, _ = langid._points([text])
-    return [sum(float(model.table[k, langid._buckets(points, letter, n)].astype(np.float64).sum()) for n in langid.ORDERS) for k in range(len(model.languages))]
+    return np.array([sum(float(row[b]) for b in plain_grams(text) if b) for row in model.table])
+
+
+def test_language_model_against_plain_naive_bayes(spark):
+    """Learned counts, prior, prediction and score from first principles."""
+    rows = [(1, "der Hund und die Katze", "de"), (2, "the dog and the cat", "en"), (3, "Straße und İstanbul!", "de"), (4, "a cat, a hat", "en"), (4, "a cat, a hat", "en"), (5, None, "en"), (6, "le chat", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ("de", "en") and np.allclose(np.exp(model.prior), [3, 4])
+    for k, lang in enumerate(model.languages):
+        counts = np.full(1 << langid.BUCKET_BITS, 0.5)
+        for _, text, own in rows:
+            if text and own == lang:
+                np.add.at(counts, [b for b in plain_grams(text) if b], 1)
+        want = np.log(counts / counts.sum())
+        assert np.allclose(model.table[k][1:], want[1:], atol=1e-4)
+    texts = ["the cat", "die Katze", "x", "Der Hund sat on the cat", "ß", "12", "", None]
+    langs, scores = model.score(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        logs = plain_scores(model, text) + model.prior
+        p = np.exp(logs - logs.max())
+        assert (lang, round(float(score), 6)) == (("und", 0.0) if not any(map(str.isalpha, text or "")) else (model.languages[int(p.argmax())], round(float(p.max() / p.sum()), 6)))
 
 
 def test_language_edges(spark, edge, empty):
@@ -36,17 +70,18 @@ def test_language_edges(spark, edge, empty):
     assert langid.identify(empty, model).count() == 0
 
 
-def test_long_texts_are_scored_whole(monkeypatch):
-    model = langid.LanguageModel(("a", "b"), np.zeros(2), np.random.default_rng(1).normal(0, 1, (2, 1 << langid.BUCKET_BITS)).astype(np.float32) * 1e-3)
+@pytest.mark.parametrize("slab", [3, 101, 1 << 20])
+def test_long_texts_are_scored_whole(monkeypatch, slab):
+    """Scores equal those of a plain sum over the whole text, wherever the seams fall and whatever stands beside it."""
+    model = langid.LanguageModel(("a", "b"), np.zeros(2), np.random.default_rng(1).normal(0, 1, (2, 1 << langid.BUCKET_BITS)).astype(np.float32) * 1e-2)
     model.table[:, 0] = 0
-    text = "Ein langer Text. " * 500
-    whole = plain_scores(model, text)
-    assert model.score([text])[0] == [model.languages[int(np.argmax(whole))]]
-    monkeypatch.setattr(langid, "SLAB", 101)
-    seen = []
-    for _, pieces in langid._slabs([text, None, ""]):
-        seen += pieces
-    assert "".join(seen) == text
+    monkeypatch.setattr(langid, "SLAB", slab)
+    texts = ["Ein langer Text, İn Stücken. " * 40, None, "kurz", "", "x" * 300 + " Ende"]
+    langs, scores = model.score(texts)
+    for text, lang, score in zip(texts, langs, scores):
+        logs = plain_scores(model, text)
+        p = np.exp(logs - logs.max())
+        assert lang == ("und" if not text else "ab"[int(p.argmax())]) and (not text or abs(score - p.max() / p.sum()) < 1e-6)
 
 
 def auc(y, s):

@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Letters are lower-cased and everything else counts as a blank. Each run of 1 to 3 characters that holds a letter is
-hashed into a bucket; a table of smoothed log-probabilities (buckets x languages, 4 bytes each: 2 MB for 4
+Letters are lower-cased and everything else counts as a blank; a text has blanks before and after it. Each run of 1 to 3
+characters that holds a letter is hashed into a bucket; a table of smoothed log-probabilities (buckets x languages, 4 bytes each: 2 MB for 4
 languages, 100 MB for 200) is broadcast, and batches of texts are scored by summing their buckets' entries in numpy.
 
-Learning takes at most about `max_train` labelled rows, by a hash of their ids. A text that is null or has no letter
-is `und` with score 0. If nothing can be learned, every text is `und`. Repeated rows get equal results; other columns
-are ignored; long texts are read whole, in slabs.
+Learning takes at most about `max_train` labelled rows, by a hash of their ids; repeated rows count each. A text that is
+null or has no letter is `und` with score 0. If nothing can be learned (an empty table, no language), every text is
+`und`; an empty table to judge gives no rows. Of languages with equal scores the first by name is taken. Repeated rows
+get equal results, whatever the id, null too; other columns, whatever their names, are ignored or passed on. Long texts
+are read whole, in slabs that look two characters ahead, so that no n-gram is lost or counted twice at a seam.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from tracegrid.llm.common import sample_at_most, ship
 
 BUCKET_BITS, ORDERS = 17, (1, 2, 3)
-MAX_TRAIN, SLAB = 20_000, 1 << 22
+MAX_TRAIN, SLAB = 20_000, 1 << 20
+AHEAD = max(ORDERS) - 1
 #: Odd multipliers that spread the characters of an n-gram (any odd numbers do).
 _MIX = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 _LETTERS: list[np.ndarray] = []
@@ -35,16 +38,15 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts in a row, each text closed by a blank; letter marks; where each text starts."""
-    lowered = [t.lower() for t in texts]
-    points = np.frombuffer(" ".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+def _points(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all pieces in a row; letter marks; where each piece starts; the places that only look ahead."""
+    points = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
-    starts = np.cumsum([0, *(len(t) + 1 for t in lowered)])[:-1]
-    return np.where(letter, points, np.uint32(32)), letter, starts
+    ends = np.cumsum([len(p) for p in pieces])
+    return np.where(letter, points, np.uint32(32)), letter, np.r_[0, ends[:-1]], (ends[:, None] - 1 - np.arange(AHEAD)).ravel()
 
 
-def _buckets(points: np.ndarray, letter: np.ndarray, order: int) -> np.ndarray:
+def _buckets(points: np.ndarray, letter: np.ndarray, order: int, ahead: np.ndarray) -> np.ndarray:
     """The bucket of the n-gram that starts at each position; 0, which counts nothing, where no letter is in it."""
     h, any_letter = points * _MIX[0], letter.copy()
     for k in range(1, order):
@@ -54,17 +56,18 @@ def _buckets(points: np.ndarray, letter: np.ndarray, order: int) -> np.ndarray:
     h *= _MIX[order - 1]
     out = (h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
     out[~any_letter] = 0
+    out[ahead] = 0
     return out
 
 
 def _slabs(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """(owners, pieces) of bounded total length; a long text is cut with an overlap-free seam."""
+    """(owners, pieces) of bounded total length. Each piece ends in AHEAD characters that belong to the next, or blanks."""
     owners, pieces, size = [], [], 0
     for i, t in enumerate(texts):
-        t = t or ""
-        for at in range(0, max(1, len(t)), SLAB):
+        t = f" {(t or '').lower()}"
+        for at in range(0, len(t), SLAB):
             owners.append(i)
-            pieces.append(t[at : at + SLAB])
+            pieces.append(t[at : at + SLAB + AHEAD].ljust(min(SLAB, len(t) - at) + AHEAD))
             size += len(pieces[-1])
             if size >= SLAB:
                 yield owners, pieces
@@ -82,10 +85,10 @@ class LanguageModel:
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         sums, seen = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
         for owners, pieces in _slabs(texts):
-            points, letter, starts = _points(pieces)
+            points, letter, starts, ahead = _points(pieces)
             np.add.at(seen, owners, np.add.reduceat(letter, starts, dtype=np.int64))
             for order in ORDERS:
-                b = _buckets(points, letter, order)
+                b = _buckets(points, letter, order, ahead)
                 for k, row in enumerate(self.table):
                     np.add.at(sums[:, k], owners, np.add.reduceat(row[b], starts, dtype=np.float64))
         if not self.languages:
@@ -106,9 +109,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs[lang] = docs.get(lang, 0) + len(own)
             into = total.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
             for _, pieces in _slabs(own):
-                points, letter, _ = _points(pieces)
+                points, letter, _, ahead = _points(pieces)
                 for order in ORDERS:
-                    into += np.bincount(_buckets(points, letter, order), minlength=len(into))
+                    into += np.bincount(_buckets(points, letter, order, ahead), minlength=len(into))
     for lang, c in total.items():
         c[0] = 0
         at = np.flatnonzero(c)
