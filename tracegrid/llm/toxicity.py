@@ -7,10 +7,12 @@ are sets of (trie node, edits) pairs, made when first met, so most words fail af
 by its distance and by its context: inside quotation marks, or near a word of reporting, it counts a quarter. The
 document's score is a logistic function of its evidence, fitted to labelled rows.
 
-Learning takes at most about `max_train` labelled rows by a hash of their ids; without labels of both kinds fixed
-weights are used. Null and empty texts have no evidence and get the score of a clean text. Repeated labels of a
-document: the largest counts. Labels without document or value are ignored, as are other columns. Repeated rows get
-equal results; texts are read whole.
+Learning takes at most about `max_train` labelled rows by a hash of their ids, which bounds the terms that it can learn;
+all that pass are kept. Without labels of both kinds fixed weights are used. Null and empty texts have no evidence and
+get the score of a clean text. Repeated labels of a document: the largest counts. Labels without document or value are
+ignored, as are other columns, whatever their names. Repeated rows get equal results, rows with a null doc_id are scored
+like others; an empty table gives no rows. A word within reach of several entries counts by the fewest edits; terms are
+taken in order of length and then of letters where one could stand for another. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ REPORTING = (
 QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‹": "›"}
 WINDOW = 60  # characters to either side
 QUOTED = 0.25  # what a quoted or reported hit counts
-MAX_TRAIN, MAX_LEXICON, FEWEST = 20_000, 5_000, 10
+MAX_TRAIN, FEWEST = 20_000, 10
 _TOKEN = re.compile(r"\w+(?:[*@$!]\w+)*")
 
 
@@ -74,6 +76,10 @@ class Automaton:
                 self.room[node] = max(self.room[node], allowed)
             old = self.ends.get(node, (0, False))
             self.ends[node] = (max(old[0], allowed), old[1] or stem)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start again with no state but the first; what is met later is made anew."""
         start = self._closed({0: 0})
         self.states = [start]
         self.numbers = {tuple(sorted(start.items())): 0}
@@ -133,8 +139,8 @@ class Automaton:
         return None if self.accepts[state] is None else self.accepts[state][0]
 
 
-#: Words remembered by one worker, with their distance.
-REMEMBERED = 500_000
+#: Words, with their distance, and states of the automaton remembered by one worker.
+REMEMBERED, STATES = 500_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -158,6 +164,8 @@ class Evidence:
         known, out = self.known, {}
         if len(known) > REMEMBERED:
             known.clear()
+        if len(self.automaton.states) > STATES:
+            self.automaton.forget()
         for w in words:
             d = known.get(w, -1)
             if d == -1:
@@ -203,7 +211,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     """(text, y) of a bounded sample, written once. At most about max_train ids are broadcast, so that no text is shuffled."""
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg((F.max(F.col(label_col)) > 0).cast("int").alias("y"))
     chosen = sample_at_most(materialise(rows, "labels"), "__id", max_train)
-    return materialise(docs.join(F.broadcast(chosen), docs[id_col] == chosen["__id"]).select(F.col(text_col).alias("text"), "y"), "learning-rows")
+    own = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    return materialise(own.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("text", "y"), "learning-rows")
 
 
 STEMS = range(4, 7)
@@ -240,8 +249,8 @@ def _contexts(terms: frozenset[str]) -> Callable:
     return run
 
 
-def learn_lexicon(rows: DataFrame, max_entries: int = MAX_LEXICON, least: int = 3) -> list[str]:
-    """Words and stems that mark the toxic ones among labelled rows (text, y). At most max_entries reach the driver.
+def learn_lexicon(rows: DataFrame, least: int = 3) -> list[str]:
+    """Words and stems that mark the toxic ones among labelled rows (text, y); their number is bounded by these rows' words.
 
     A term is in `least` toxic rows or more, and so pure that a tenth of a term like it would be expected by chance."""
     n = rows.agg(F.count("*").alias("n"), F.sum("y").alias("toxic")).first()
@@ -252,7 +261,7 @@ def learn_lexicon(rows: DataFrame, max_entries: int = MAX_LEXICON, least: int =
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
     surprise = F.col("toxic") * F.log(share / F.lit(n["toxic"] / n["n"]))
     needed = math.log(10 * max(1, totals.count()))
-    pure = totals.where((share >= 0.95) & (surprise >= needed)).orderBy(F.desc(surprise), "term").limit(max_entries).select("term", (surprise / F.col("toxic")).alias("each")).collect()
+    pure = totals.where((share >= 0.95) & (surprise >= needed)).select("term", (surprise / F.col("toxic")).alias("each")).collect()
     each = {r["term"]: r["each"] for r in pure}
     around = rows.where("y = 1").mapInArrow(_contexts(frozenset(each)), "term string, context string").groupBy("term").agg(F.countDistinct("context").alias("n"))
     # copies of one toxic document bring a term again and again between the same words; only other places count
@@ -268,7 +277,7 @@ def learn_lexicon(rows: DataFrame, max_entries: int = MAX_LEXICON, least: int =
     kept = [s for s in kept if len(spread[s]) != 1]
     # as long a stem as loses next to none of its places
     kept = [max((t for t in stems if t.startswith(s[:-1]) and places[t] >= 0.95 * places[s]), key=len) for s in kept]
-    return sorted({*kept, *(w for w in words if not any(w.startswith(s[:-1]) for s in kept))})
+    return sorted({*kept, *words})  # words that a stem covers too: their misspellings may begin otherwise
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1e-2) -> tuple[float, ...]:
@@ -297,10 +306,10 @@ def _near_words(entries: tuple[str, ...]) -> Callable:
     return run
 
 
-def ordinary_words(rows: DataFrame, entries: tuple[str, ...], max_entries: int = MAX_LEXICON) -> list[str]:
+def ordinary_words(rows: DataFrame, entries: tuple[str, ...]) -> list[str]:
     """Words that resemble an entry but occur in clean documents as often as in toxic ones: no misspellings of it."""
     near = rows.mapInArrow(_near_words(entries), "word string, y int").groupBy("word").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
-    return [r["word"] for r in near.where("2 * toxic <= n").orderBy(F.desc("n"), "word").limit(max_entries).collect()]
+    return sorted(r["word"] for r in near.where("2 * toxic <= n").select("word").collect())
 
 
 def _features(entries: tuple[str, ...], ordinary: tuple[str, ...], keep: int) -> Callable:
