@@ -1,6 +1,7 @@
 import hashlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from tracegrid.llm import exact_dedup, url_filter
@@ -76,8 +77,31 @@ def test_judge_by_all_ways(spark):
     assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
 
 
-def test_collisions_decide_nothing(monkeypatch):
-    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
-    index = url_filter.SortedDigests(url_filter.RULES)
+def index_of(spark, rules, monkeypatch):
+    index = url_filter.SortedDigests(spark, spark.createDataFrame(rules, "host string, path string, verdict string"))
     index.map_into_memory()
-    assert index.find(["net/", "org/", "org/fr/"]).tolist() == [index.texts.tolist().index("net/"), -1, index.texts.tolist().index("org/fr/")]
+    return index
+
+
+def test_collisions_decide_nothing(spark, monkeypatch):
+    index = index_of(spark, url_filter.RULES, monkeypatch)
+    monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x, seed: 7)
+    index.digests = np.full(4, 7)
+    names = [index.rule(k) for k in range(4)]
+    assert index.find(["net/", "org/", "org/fr/"]).tolist() == [names.index("net/"), -1, names.index("org/fr/")]
+
+
+def test_many_rules_against_plain_search(spark, monkeypatch):
+    """A list beyond any bound on what is sent, in one sorted array, with repeated, contradictory and null rules."""
+    hosts = [f"h{k}.site{k % 97}.org" for k in range(60_000)]
+    rules = [(h, "/" if k % 3 else f"/p{k % 5}/", "block" if k % 2 else "allow") for k, h in enumerate(hosts)]
+    rules += [("twice.org", "/", "allow"), ("twice.org", "/", "block"), (None, "/", "block"), ("null.org", "/", None), ("é.org", "/ü/", "block")]
+    index = index_of(spark, rules, monkeypatch)
+    assert (np.diff(index.digests) >= 0).all() and index.count == 60_002
+    table = {h + p: v for h, p, v in rules if h and v}
+    probes = [h + p for h, p, _ in rules[::50] if h] + ["twice.org/", "é.org/ü/", "null.org/", "absent.org/"]
+    found = index.find(probes)
+    assert [index.verdict(k) if k >= 0 else None for k in found] == [table.get(p) for p in probes]
+    urls = [(k, f"http://www.{hosts[k]}/p{k % 5}/x") for k in range(0, 60_000, 500)]
+    got = url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in got} == {k: (rules[k][0] + rules[k][1], rules[k][2]) for k, _ in urls}

@@ -45,6 +45,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class SharedFile:
+    """A file in the shared folder, written by the driver through Spark's own file systems, so on whatever storage that is."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm, self.path = spark.sparkContext._jvm, path
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        self._out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+
+    def write(self, raw: bytes, block: int = 4 << 20) -> None:
+        for at in range(0, len(raw), block):
+            self._out.write(bytearray(raw[at : at + block]))
+
+    def close(self) -> None:
+        self._out.close()
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python, unless their path already has it."""
     root = Path(__file__).resolve().parents[2]

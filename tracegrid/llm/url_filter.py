@@ -6,30 +6,34 @@ with every prefix of its path that has the length of some rule's path. Their xxh
 sorted array, and the stored strings confirm each hit, so a collision decides nothing. The longest rule wins; an
 unmatched url gets the default verdict. (Rules of equal length for one url are the same string.)
 
-Null urls and those without `://` have empty host and path and match no rule. Repeated rows get equal verdicts. An
-empty table gives no rows, an empty rule list the default for all. Other columns are ignored. Long urls cost one
-candidate for each host label and path length, whatever their length.
+Rule lists of any size go one way: Spark sorts them by digest, the driver writes the sorted arrays, a chunk at a time,
+once in the shared folder, Spark gives each executor one copy, and all its workers map that copy into memory. The
+driver holds a chunk, a worker the pages that it probes.
+
+Null urls and those without `://` have empty host and path and match no rule. Repeated rows get equal verdicts; of
+several verdicts for one rule the greatest by name counts (`block` before `allow`); rules with a null host, path or
+verdict are ignored. An empty table gives no rows, an empty rule list the default for all. Other columns, whatever their
+names, are ignored. Long urls cost one candidate for each host label and path length, whatever their length.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracegrid.llm.common import ascii_lower, ship
+from tracegrid.llm.common import SharedFile, ascii_lower, scratch_path, ship
 
 #: The rules of the registered query: (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Rule lists up to this many bytes are sent to every executor; longer ones are joined on their digests instead.
-SEND_AT_MOST = 64 << 20
+#: Spark's seed of xxhash64.
+SEED = 42
 
 
 def host_of(url: Column) -> Column:
@@ -40,36 +44,64 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _sorted_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of sorted rules (digest, rule, verdict's number) as raw arrays in one row."""
+    for b in batches:
+        rules = [x.encode() for x in b.column(1).to_pylist()]
+        raw = [np.asarray(b.column(0)).tobytes(), np.array([len(x) for x in rules], np.int64).tobytes(), np.asarray(b.column(2)).astype(np.int32).tobytes(), b"".join(rules)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], names=["digests", "lengths", "verdicts", "rules"])
+
+
 class SortedDigests:
-    """The rules' digests in order, in a file mapped into memory, with the strings and verdicts beside them."""
-
-    def __init__(self, rules: list[tuple[str, str, str]]):
-        texts = [h + p for h, p, _ in rules]
-        digests = np.array([xxhash.xxh64_intdigest(x) for x in texts], np.uint64)
-        order = np.argsort(digests, kind="stable")
-        self.texts = np.array(texts, object)[order]
-        self.verdicts = np.array([v for _, _, v in rules], object)[order]
-        self.lengths = sorted({len(p) for _, p, _ in rules})
-        self.digests = digests[order]
-
-    def map_into_memory(self) -> None:
-        if len(self.digests):
-            with tempfile.NamedTemporaryFile(prefix="digests-", delete=False) as f:
-                self.digests.tofile(f)
-            self.digests = np.memmap(f.name, np.uint64, "r")
-            os.unlink(f.name)  # the mapping keeps it until the worker ends
+    """The rules' digests in order, with the rules and verdicts beside them, as files that are mapped into memory."""
+
+    PARTS = ("digests", "ends", "verdicts", "rules")
+
+    def __init__(self, spark: SparkSession, rules: DataFrame):
+        """rules: (host, path, verdict). The files are written and handed to all executors."""
+        rules = rules.dropna(subset=["host", "path", "verdict"]).select(F.concat("host", "path").alias("rule"), F.length("path").alias("n"), "verdict")
+        self.lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())  # path lengths only: few
+        self.names = sorted(r["verdict"] for r in rules.select("verdict").distinct().collect())
+        number = F.array_position(F.array(*map(F.lit, self.names)), F.col("verdict")) - 1 if self.names else F.lit(0)
+        ordered = rules.groupBy("rule").agg(F.max("verdict").alias("verdict")).select(F.xxhash64("rule").alias("digest"), "rule", number.cast("int").alias("verdict")).orderBy("digest", "rule")
+        folder = scratch_path(spark, "digests")
+        files = {k: SharedFile(spark, f"{folder}.{k}") for k in self.PARTS}
+        self.count = end = 0
+        for c in ordered.mapInArrow(_sorted_chunks, "digests binary, lengths binary, verdicts binary, rules binary").toLocalIterator():
+            lengths = np.frombuffer(c["lengths"], np.int64)
+            files["digests"].write(c["digests"])
+            files["ends"].write((end + np.cumsum(lengths)).tobytes())
+            files["verdicts"].write(c["verdicts"])
+            files["rules"].write(c["rules"])
+            self.count, end = self.count + len(lengths), end + int(lengths.sum())
+        for f in files.values():
+            f.close()
+            if self.count:
+                spark.sparkContext.addFile(f.path)
+        self.folder = folder.rsplit("/", 1)[-1]
+
+    def map_into_memory(self, place: Callable[[str], str] = SparkFiles.get) -> None:
+        kinds = {"digests": np.int64, "ends": np.int64, "verdicts": np.int32, "rules": np.uint8}
+        for k, kind in kinds.items():
+            setattr(self, k, np.memmap(place(f"{self.folder}.{k}"), kind, "r") if self.count else np.zeros(0, kind))
+
+    def rule(self, k: int) -> str:
+        return self.rules[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])].tobytes().decode()
+
+    def verdict(self, k: int) -> str:
+        return self.names[self.verdicts[k]]
 
     def find(self, probes: list[str]) -> np.ndarray:
         """For each probe the index of its rule, or -1."""
-        if not len(self.digests) or not probes:
-            return np.full(len(probes), -1)
-        want = np.fromiter(map(xxhash.xxh64_intdigest, probes), np.uint64, len(probes))
-        at = np.searchsorted(self.digests, want)
         out = np.full(len(probes), -1)
-        for i in np.flatnonzero(self.digests[np.minimum(at, len(self.digests) - 1)] == want):
-            k = at[i]
-            while k < len(self.digests) and self.digests[k] == want[i]:  # rules under one digest lie side by side
-                if self.texts[k] == probes[i]:
+        if not self.count or not probes:
+            return out
+        want = np.fromiter(map(xxhash.xxh64_intdigest, probes, repeat(SEED)), np.uint64, len(probes)).view(np.int64)
+        at = np.searchsorted(self.digests, want)
+        for i in np.flatnonzero(self.digests[np.minimum(at, self.count - 1)] == want):
+            k = int(at[i])
+            while k < self.count and self.digests[k] == want[i]:  # rules under one digest lie side by side
+                if self.rule(k) == probes[i]:
                     out[i] = k
                     break
                 k += 1
@@ -86,9 +118,8 @@ def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
     return sorted(found, key=len, reverse=True)
 
 
-def _judge(rules: list, default: str) -> Callable:
+def _judge(index: SortedDigests, default: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SortedDigests(rules)
         index.map_into_memory()
         for b in batches:
             probes, owner = [], []
@@ -99,35 +130,19 @@ def _judge(rules: list, default: str) -> Callable:
             rule, verdict = [None] * b.num_rows, [default] * b.num_rows
             found = index.find(probes)
             for j in np.flatnonzero(found >= 0)[::-1]:  # the longest of a url comes last and stays
-                rule[owner[j]], verdict[owner[j]] = index.texts[found[j]], index.verdicts[found[j]]
+                rule[owner[j]], verdict[owner[j]] = index.rule(found[j]), index.verdict(found[j])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
     return run
 
 
-def _joined(parts: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same verdicts for rule lists of any size: candidates meet rules by digest, then by string."""
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # path lengths only: few
-    rules = rules.select(F.concat("host", "path").alias("rule"), "verdict").withColumn("digest", F.xxhash64("rule"))
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda x: x.isNotNull())
-    ask = parts.select("host", "path").distinct().select("host", "path", F.explode(hosts).alias("h")).where("h != ''").select("host", "path", F.explode(prefixes).alias("p"), "h")
-    ask = ask.select("host", "path", F.concat("h", "p").alias("text")).withColumn("digest", F.xxhash64("text"))
-    hit = ask.join(rules, (ask["digest"] == rules["digest"]) & (ask["text"] == rules["rule"]))
-    best = hit.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), F.length("rule")).alias("b"))
-    named = parts.join(best, ["host", "path"], "left")
-    return named.select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
-
-
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each page. rules: a list, or (host, path, verdict) rows of any number."""
-    ship(pages.sparkSession)
+    spark = pages.sparkSession
+    ship(spark)
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(rules, "host string, path string, verdict string")
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    if isinstance(rules, DataFrame):
-        return _joined(parts, rules, default)
-    if sum(len(h) + len(p) + 16 for h, p, _ in rules) > SEND_AT_MOST:
-        return _joined(parts, pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string"), default)
     kind = pages.schema[id_col].dataType.simpleString()
-    return parts.mapInArrow(_judge(list(rules), default), f"page_id {kind}, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(_judge(SortedDigests(spark, rules), default), f"page_id {kind}, host string, path string, rule string, verdict string")
