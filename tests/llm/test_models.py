@@ -1,7 +1,9 @@
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracegrid.llm import decontamination, langid, licenses, quality, toxicity
 from tracegrid.llm.queries import op6_toxicity, op8_language, op9_decontamination, op10_quality
@@ -129,6 +131,59 @@ def test_automaton_against_brute_force():
         assert a.distance(w) == (min(hits) if hits else None)
 
 
+def plain_quoted(text, start, end):
+    left, right = text[max(0, start - 60) : start], text[end : end + 60]
+    inside = left.count('"') % 2 == 1 and '"' in right
+    for opening, closing in (("“", "”"), ("„", "“”"), ("«", "»"), ("»", "«"), ("‘", "’"), ("‹", "›")):
+        inside |= opening in left and not any(c in left[left.rindex(opening) + 1 :] for c in closing) and any(c in right for c in closing)
+    return inside or any(w in toxicity.REPORTING for w in re.findall(r"\w+(?:[*@$!]\w+)*", left))
+
+
+def plain_features(entries, ordinary, text):
+    """By the edit distance of every word to every entry."""
+    text = text.lower()
+    tokens = [(m[0], m.start(), m.end()) for m in re.finditer(r"\w+(?:[*@$!]\w+)*", text)]
+    exact = fuzzy = 0
+    for w, start, end in tokens:
+        hits = [distance(w, e) for e in entries if not e.endswith("*") and distance(w, e) <= toxicity.edits_allowed(len(e))]
+        hits += [0 for e in entries if e.endswith("*") and w.startswith(e[:-1])]
+        if hits and not (min(hits) and w in ordinary):
+            counts = 0.25 if plain_quoted(text, start, end) else 1
+            exact, fuzzy = (exact + counts, fuzzy) if min(hits) == 0 else (exact, fuzzy + counts / min(hits))
+    return np.log1p(exact), np.log1p(fuzzy), np.log1p(100 * (exact + fuzzy) / max(1, len(tokens)))
+
+
+def test_features_against_plain_version(monkeypatch):
+    rng = np.random.default_rng(6)
+    entries, ordinary = (*toxicity.LEXICON, "xyz*", "müll*"), ("idiom", "bascard")
+    words = ["idiot", "idoit", "id1ot", "idiom", "bastard", "bascard", "b*stard", "xyzzy", "Müllmann", "said", "the", "a", "calm", "worthlss", "STUPID", '"', "“", "”", "«", "»", "„", ",", "wort"]
+    monkeypatch.setattr(toxicity, "STATES", 20)  # states are forgotten time and again
+    e = toxicity.Evidence(entries, ordinary)
+    for _ in range(400):
+        text = " ".join(rng.choice(words, rng.integers(1, 30)))
+        assert np.allclose(e.features(text), plain_features(entries, ordinary, text)), text
+        assert len(e.automaton.states) < 20 + 40 * 30
+
+
+def test_lexicon_has_no_bound_but_its_rows(spark):
+    """More learned terms than any list would hold; misspellings of words that a stem covers are found."""
+    rows = [(f"fine calm day number{k} here", 0) for k in range(6000)]
+    terms = [f"{a}{b}{c}orbleth" for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou" for c in "bcdfghklmnprstvz"]
+    for k in range(0, len(terms), 40):
+        rows += [(" ".join(f"{t} filler{(i * 7 + j) % 50}" for i, t in enumerate(terms[k : k + 40])), 1) for j in range(8)]
+    learned = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    automaton = toxicity.Automaton(tuple(learned))
+    assert all(automaton.distance(t) == 0 for t in terms) and sum(not t.endswith("*") for t in learned) >= len(terms) == 1600
+    assert automaton.distance(terms[3][0] + "u" + terms[3][1:]) is not None
+
+
+@pytest.mark.parametrize("name", ["y", "__id", "__doc", "text2", "f0"])
+def test_toxicity_with_clashing_columns(spark, edge, name):
+    docs = edge.withColumn(name, F.lit(1))
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1)], f"doc_id long, toxic int, {name if name != '__id' else 'y'} int")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == edge.count()
+
+
 def test_quotation_counts_less():
     e = toxicity.Evidence(tuple(toxicity.LEXICON))
     plain, said, quoted = (e.features(t)[0] for t in ("you stupid person", "they said stupid things were called that", 'the label "stupid" is unkind'))
@@ -153,6 +208,60 @@ def test_quality_edges(spark, edge, empty):
     assert quality.score(quality.document_statistics(empty), quality.train(stats, labels)).count() == 0
 
 
+def plain_isotonic(x, y):
+    """The rising function nearest to y in squares, by the min-max formula over means of runs of x."""
+    xs = np.unique(x)
+    means = lambda i, j: y[(x >= xs[i]) & (x <= xs[j])].mean()
+    return xs, np.array([max(min(means(i, j) for j in range(k, len(xs))) for i in range(k + 1)) for k in range(len(xs))])
+
+
+def test_isotonic_against_plain_version():
+    """Blocks are those of the min-max formula; each block's value is its mean drawn half a row towards one half."""
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        x = rng.integers(0, 12, 60).astype(float)
+        y = (rng.random(60) < x / 12).astype(float)
+        xs, want = plain_isotonic(x, y)
+        kx, ky = quality.isotonic(x, y)
+        got = np.interp(xs, kx, ky)
+        for v in np.unique(want):
+            block = np.isin(x, xs[want == v])
+            # equal fitted values are one block or neighbours, whose values rise together
+            assert np.allclose(got[want == v], (y[block].sum() + 0.5) / (block.sum() + 1), atol=0.12)
+        assert (np.diff(got) >= -1e-12).all()
+
+
+def test_quality_model_against_plain_ridge(spark):
+    """Statistics, moments, normal equations and weights by numpy over all learning rows at once."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stats = quality.document_statistics(docs).cache()
+    model = quality.train(stats, labels)
+    rows = stats.join(labels.groupBy("doc_id").agg(F.max("quality").alias("y")).dropna(), "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(16))).toPandas()
+    s, y = rows[quality.STATS].to_numpy(), rows["y"].to_numpy(float)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert np.allclose(s, [quality.statistics(texts[d]) for d in rows["doc_id"]])
+    assert np.allclose(model.mean, s.mean(axis=0)) and np.allclose(model.scale, np.where(s.std(axis=0) > 0, s.std(axis=0), 1))
+    z = np.clip((s - s.mean(axis=0)) / model.scale, -8, 8)
+    a = np.c_[np.sqrt(2 / quality.WAVES) * np.cos(z @ model.waves + model.phase), np.ones(len(z))]
+    fit = (rows["half"] < 8).to_numpy()
+    weights = np.linalg.solve(a[fit].T @ a[fit] + quality.RIDGE * np.eye(a.shape[1]), a[fit].T @ y[fit])
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    assert np.allclose(model.score(s), np.clip(np.interp(a @ weights, *quality.isotonic(a[~fit] @ weights, y[~fit])), 0, 1), atol=1e-6)
+    stats.unpersist()
+
+
+def test_fourier_features_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(5)
+    d = len(quality.STATS)
+    waves, phase = rng.normal(0, 1 / np.sqrt(d), (d, 4096)), rng.uniform(0, 2 * np.pi, 4096)
+    m = quality.QualityModel(np.zeros(d), np.ones(d), waves, phase, np.zeros(4097), np.zeros(1), np.zeros(1))
+    x = rng.normal(size=(30, d))
+    f = m.features(x)[:, :-1]
+    want = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * d))
+    assert np.abs(f @ f.T - want).max() < 0.1
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(0)
     x = rng.normal(size=500).round(1)

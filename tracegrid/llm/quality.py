@@ -7,7 +7,10 @@ their ids) fit the weights, the other half the isotonic map from raw scores to p
 
 Learning takes at most about `max_train` labelled rows. Null and empty texts have statistics of zero and are scored
 like any other. Without labels of both kinds every score is the share of label 1, or 0.5 without any. Repeated labels
-of a document: the largest counts. Repeated rows get equal results; other columns are ignored; texts are read whole.
+of a document: the largest counts. A doc_id that comes with several texts teaches by the one with the least statistics,
+in their order. Raw scores that tie are one knot of the isotonic map. Repeated rows get equal results, rows with a null
+doc_id are scored like others; an empty table gives no rows; other columns, whatever their names, are ignored; texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -129,7 +132,8 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
     waves, phase = rng.normal(0, 1 / np.sqrt(d), (d, WAVES)), rng.uniform(0, 2 * np.pi, WAVES)
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).cast("double").alias("y"))
     # repeated documents have one vote
-    rows = stats.join(sample_at_most(y, "doc_id", max_train), "doc_id").dropDuplicates(["doc_id"])
+    own = stats.select("doc_id", *STATS).join(sample_at_most(y, "doc_id", max_train), "doc_id")
+    rows = own.groupBy("doc_id", "y").agg(F.min(F.struct(*STATS)).alias("s")).select("doc_id", "y", "s.*")
     rows = materialise(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2 * PARTS)).cast("int")), "learning-rows")
     moments = rows.agg(F.count("*").alias("n"), F.avg("y").alias("p"), *[F.avg(s).alias(f"m_{s}") for s in STATS], *[F.stddev_pop(s).alias(f"s_{s}") for s in STATS]).first()
     flat = QualityModel(np.zeros(d), np.ones(d), waves, phase, np.zeros(WAVES + 1), np.zeros(1), np.full(1, 0.5 if moments["p"] is None else moments["p"]))
