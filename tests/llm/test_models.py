@@ -1,4 +1,5 @@
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -428,6 +429,50 @@ def test_wrapped_headers_in_long_paragraphs(name, mark, end):
     assert found == name and score >= licenses.THRESHOLD, (found, score)
 
 
+def cosine_to(words, template):
+    """Plain TF-IDF cosine over the templates' own words."""
+    split = lambda t: re.findall(r"\w+", t.lower())
+    all_words = [set(split(t)) for _, t in licenses.TEMPLATES]
+    idf = lambda w: np.log((1 + len(all_words)) / (1 + sum(w in x for x in all_words))) + 1
+    vector = lambda ws: {w: (1 + np.log(ws.count(w))) * idf(w) for w in set(ws)}
+    a, b = vector(words), vector(split(template))
+    return sum(x * b.get(w, 0) for w, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_cosines_against_plain_version():
+    t = licenses.Templates(licenses.TEMPLATES)
+    words = "licensed under the the cc by nc 4 0 license version 3 zebra".split()
+    got = t.cosines(words)
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        assert abs(got.get(k, 0.0) - cosine_to(words, text)) < 1e-9 and abs(t._cosine(words, k) - cosine_to(words, text)) < 1e-9
+        # the bound that passes templates over
+        assert k in t.within_reach(set(words)) or cosine_to(words, text) < licenses.THRESHOLD
+
+
+@pytest.mark.parametrize("k", range(len(licenses.TEMPLATES)))
+@pytest.mark.parametrize("how", ["alone", "file", "commented", "long line", "long paragraph"])
+def test_every_template_is_named_right(k, how):
+    """Each notice, head, licence text and SPDX line: alone, under a holder's line, in comments, in a line or a paragraph beyond the old bounds."""
+    name, text = licenses.TEMPLATES[k]
+    wrapped = textwrap.wrap(text, 72)
+    code = " ".join(f"value{i} = compute{i % 7}(value{i + 1})" for i in range(900))
+    shown = {
+        "alone": text,
+        "file": "Copyright (c) 2021 Jane Example\n\n" + "\n".join(wrapped) + "\n",
+        "commented": "\n".join([f"x{i} = {i}" for i in range(50)] + ["# " + w for w in wrapped] + [f"y{i} = {i}" for i in range(50)]),
+        "long line": f"{code} {text} {code}",
+        "long paragraph": "\n".join([code[i : i + 80] for i in range(0, len(code), 80)] * 2 + wrapped + [code[:80]] * 90),
+    }[how]
+    score, found = licenses.Templates(licenses.TEMPLATES).scan(shown, how == "file")
+    assert found == name and score >= licenses.THRESHOLD, (found, score)
+
+
+@pytest.mark.parametrize("text,want", [("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("// SPDX-License-Identifier: BSD-2-Clause\nint x;", "BSD-2-Clause"), ("we sell a licence to drive", None), ("no hint at all", None), ("Copyright 2020 Jane Example. All rights reserved.", None)])
+def test_short_texts(text, want):
+    score, found = licenses.Templates(licenses.TEMPLATES).scan(text, False)
+    assert (found if score >= licenses.THRESHOLD else None) == want
+
+
 def test_licence_ties_go_to_the_first_path(spark):
     mit, cc = "Released under the MIT License.", "Licensed under CC BY 4.0."
     for a, b in ((mit, cc), (cc, mit)):
