@@ -46,6 +46,15 @@ def test_dedup_by_id_and_text(spark, rows, want):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_dedup_with_clashing_columns_leaves_no_table(spark):
+    names = "__id", "__gone", "__digest", "__kept", "__own_digest", "digest", "u", "v", "node", "dir"
+    docs = spark.createDataFrame([(1, "a", *range(10)), (2, "A", *range(10)), (2, "A", *range(10)), (None, "b", *range(10))], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    before = spark.sql("SHOW TABLES").count()
+    kept = exact_dedup.dedup(docs)
+    assert kept.columns == docs.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == ["2", "None"]
+    assert queries()["op5_exact_dedup"](spark, "/root/testdata/sf0.001").count() == 200 and spark.sql("SHOW TABLES").count() == before
+
+
 def test_index_lasts(spark):
     path = scratch_path(spark, "i")
     first = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")

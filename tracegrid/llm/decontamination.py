@@ -208,7 +208,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, id_col: st
     hits = passages.select("pid", F.explode(F.arrays_zip("seed", "at")).alias("h")).select("pid", F.col("h.seed").alias("seed"), F.col("h.at").alias("at"))
     named = hits.join(seeds.select("seed", "item"), "seed").groupBy("pid", "item").agg(F.collect_list("at").alias("places"))
     named = materialise(named, "hits")  # so that the joins below know its size and can split what is long
-    pairs = named.join(passages.select("pid", "doc_id", "digest", "first", "words"), "pid").join(items, "item")
+    pairs = named.hint("merge").join(passages.select("pid", "doc_id", "digest", "first", "words"), "pid").join(items, "item")
     scored = pairs.select("doc_id", "digest", "first", "words", "places", "item_id", "item_text").mapInArrow(_score(threshold), MATCHES)
     best = F.max_by(F.struct("score", "first_word", "last_word", "passage"), F.struct("score", -F.col("first_word"))).alias("b")
     return scored.groupBy("doc_id", "digest", "item_id").agg(best).select("doc_id", "digest", "item_id", "b.*")
@@ -226,5 +226,5 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of docs, with all their columns, in whose text no test item was found."""
     found = _matches(docs, benchmark, threshold, id_col, text_col, item_col, item_text_col)
-    gone = materialise(found.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct(), "gone")
+    gone = materialise(found.select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest")).distinct(), "gone").hint("merge")  # both grow with the corpus
     return docs.join(gone, (text_key(docs[text_col]) == gone["__digest"]) & docs[id_col].cast("long").eqNullSafe(gone["__gone"]), "left_anti")

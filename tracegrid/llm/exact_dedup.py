@@ -71,13 +71,22 @@ def dedup_report(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", te
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a doc_id (or lack one) and a text, any one."""
-    index = index or DigestIndex(docs.sparkSession, scratch_path(docs.sparkSession, "digest-index"))
-    found = dedup_report(docs, index, id_col, text_col).groupBy("doc_id", "digest").agg(F.max("kept").alias("__kept"), F.count("*").alias("n"))
+    own_index = index or DigestIndex(docs.sparkSession, scratch_path(docs.sparkSession, "digest-index"))
+    found = dedup_report(docs, own_index, id_col, text_col).groupBy("doc_id", "digest").agg(F.max("kept").alias("__kept"), F.count("*").alias("n"))
     marked = materialise(found.where("not __kept or n > 1").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__kept"), "marked")
-    rows = docs.withColumn("__own_digest", text_digest(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own_digest") == F.col("__digest"))
-    out = rows.join(marked, same, "left_anti")
-    repeats = marked.where("__kept")
+    if index is None:
+        own_index.drop()  # the files stay with the other intermediate tables; the session's catalog is left as it was
+    marked = marked.hint("merge")  # it grows with the corpus, as docs do
+    own = "__own_digest"
+    while own in docs.columns:
+        own += "_"
+    rows = docs.withColumn(own, text_digest(F.col(text_col)))
+
+    def same(other: DataFrame) -> Column:
+        return rows[id_col].eqNullSafe(other["__id"]) & (rows[own] == other["__digest"])
+
+    out = rows.join(marked, same(marked), "left_anti")
+    repeats = marked.where(marked["__kept"])
     if not repeats.isEmpty():
-        out = out.unionByName(rows.join(repeats, same, "left_semi").dropDuplicates([id_col, "__own_digest"]))
-    return out.drop("__own_digest")
+        out = out.unionByName(rows.join(repeats, same(repeats), "left_semi").dropDuplicates([id_col, own]))
+    return out.drop(own)

@@ -35,6 +35,7 @@ def op4_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"))
     found = exact_dedup.dedup_report(read_table(spark, sf_dir, "documents"), index)
+    index.drop()  # the result reads the index's files, which stay
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
