@@ -51,6 +51,13 @@ def format_ns_array(a: Column, logical: str, temporal_format: str = "iso") -> Co
     return F.transform(a, lambda ns: format_ns(ns, logical, temporal_format))
 
 
+def interval_to_ns(interval: Column) -> Column:
+    """A day-time interval (microseconds) as LONG nanoseconds."""
+    part = lambda unit: F.extract(F.lit(unit), interval)
+    whole = part("DAY").cast("long") * 86_400 + part("HOUR") * 3600 + part("MINUTE") * 60
+    return whole * NS + (part("SECOND") * 1_000_000).cast("long") * 1000
+
+
 def to_ns(ts: Column) -> Column:
     """A timestamp (microseconds) as LONG nanoseconds."""
     return F.unix_micros(ts) * 1000

@@ -43,6 +43,22 @@ def decode_category(rows: DataFrame, code_col: str, dictionary: DataFrame, label
     return rows.join(d, rows[code_col] == d["__code"], "left").withColumn(label_col, F.col("__label")).drop("__label", "__code")
 
 
+def packed_bits(flags: Column) -> Column:
+    """Up to 63 booleans as the bits of a LONG, the first lowest; null counts as false."""
+    place = F.transform(flags, lambda x, i: F.when(x, F.expr("1L") * F.pow(F.lit(2), i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(place, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
+def bits_shared(a: Column, b: Column) -> Column:
+    """How many bits two packed masks have in common."""
+    return F.bit_count(a.bitwiseAND(b)).cast("int")
+
+
+def quoted_name(name: Column, suffix: str = "") -> Column:
+    """A name as it may stand in a file name: what is not a letter or digit is percent-encoded, blanks included."""
+    return F.concat(F.regexp_replace(F.url_encode(name), r"\+", "%20"), F.lit(suffix))
+
+
 def in_unsigned_range(v: Column, storage: str) -> Column:
     return v.between(0, UNSIGNED[storage])
 

@@ -17,6 +17,20 @@ def order_violations(rows: DataFrame, position: Column, keys: Sequence[str], par
     return rows.withColumn("__before", F.lag(k).over(w)).where(F.col("__before").isNotNull() & (k <= F.col("__before"))).drop("__before")
 
 
+def order_report(rows: DataFrame, position: Column, keys: Sequence[str], tasks: int = 200) -> DataFrame:
+    """order_violations for a whole table without one task that reads it all: rows are dealt by ranges of `position`,
+    compared within their range, and each range's first row with the last row before it (one row for each range)."""
+    k = F.struct(*keys)
+    dealt = rows.withColumn("__at", position).repartitionByRange(tasks, "__at").withColumn("__range", F.spark_partition_id())
+    w = Window.partitionBy("__range").orderBy("__at")
+    inside = dealt.withColumn("__before", F.lag(k).over(w))
+    last = dealt.groupBy("__range").agg(F.max_by(k, F.col("__at")).alias("__last"))
+    # ranges without rows have no last row; the nearest one below counts
+    edges = last.select(F.lead("__range").over(Window.orderBy("__range")).alias("__next"), F.col("__last"))
+    met = inside.join(F.broadcast(edges), F.col("__range") == F.col("__next"), "left").withColumn("__before", F.coalesce("__before", "__last"))
+    return met.where(F.col("__before").isNotNull() & (k <= F.col("__before"))).select(*rows.columns)
+
+
 def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracegrid.axes import request
@@ -41,16 +41,31 @@ def features_per_part(n_samples: int, target_bytes: int) -> int:
     return max(1, LEAST_FEATURES, target_bytes // max(1, ROW_BYTES * n_samples))
 
 
+def slots(cells: Column, n: int | Column) -> Column:
+    """An array of n values from (at, value) pairs, null where no pair points: pairs are sorted once and the gaps filled between them."""
+    n = F.lit(n).cast("int") if isinstance(n, int) else n.cast("int")
+    ordered = F.array_sort(cells)
+    gap = lambda k: F.array_repeat(F.lit(None).cast("double"), k)
+    before = F.transform(ordered, lambda c: c["at"].cast("int"))
+    filled = F.transform(
+        F.zip_with(ordered, F.concat(F.array(F.lit(-1)), F.slice(before, 1, F.greatest(F.size(before) - 1, F.lit(0)))), lambda c, b: F.struct(c["value"].alias("v"), (c["at"].cast("int") - b - 1).alias("k"))),
+        lambda x: F.concat(gap(x["k"]), F.array(x["v"])),
+    )
+    last = F.coalesce(F.element_at(before, -1), F.lit(-1))
+    return F.when(F.size(ordered) == 0, gap(n)).otherwise(F.concat(F.flatten(filled), gap(n - last - 1)))
+
+
 def densify(raw: DataFrame, samples: DataFrame, n_features: int, per_part: int | None = None) -> DataFrame:
     """The full grid (feature_id, sample_id, mask, value): missing cells have mask 0 and NaN.
 
     Only the sparse cells are shuffled, by sample; each sample's row is then spread over all features. A row is as
     long as the feature axis, so no task holds more than one sample's features for each row in flight.
     """
-    by_sample = raw.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("cells"))
+    by_sample = raw.groupBy("sample_id").agg(slots(F.collect_list(F.struct(F.col("feature_id").alias("at"), "value")), n_features).alias("cells"))
     rows = samples.select(F.col("sample_id").cast("long")).join(by_sample, "sample_id", "left")
-    wide = rows.select("sample_id", "cells", F.explode(F.sequence(F.lit(0), F.lit(n_features - 1))).alias("feature_id")) if n_features else rows.select("sample_id", "cells", F.lit(0).alias("feature_id")).limit(0)
-    cell = F.try_element_at("cells", F.col("feature_id"))
+    full = F.coalesce("cells", F.array_repeat(F.lit(None).cast("double"), n_features))
+    wide = rows.select("sample_id", F.posexplode(full).alias("feature_id", "cell"))
+    cell = F.col("cell")
     out = wide.select(F.col("feature_id").cast("int").alias("feature_id"), "sample_id", cell.isNotNull().cast("short").alias("mask"), F.coalesce(cell, F.lit(float("nan"))).alias("value"))
     return out.withColumn("part_id", F.floor(F.col("feature_id") / per_part).cast("int")) if per_part else out
 
@@ -84,8 +99,21 @@ def sample_slice(dense: DataFrame, sample_id: int) -> DataFrame:
     return present(dense.where(F.col("sample_id") == sample_id))
 
 
+def part_rows(dense: DataFrame, part_id: int, offsets: Sequence[int], per_part: int) -> DataFrame:
+    """The features at the given places of one part: (feature_id, offset_in_part, sample_id, present, value)."""
+    wanted = sorted({part_id * per_part + o for o in offsets if 0 <= o < per_part})
+    rows = dense.where((F.col("part_id") == part_id) & F.col("feature_id").isin(wanted))
+    return present(rows).select("feature_id", F.pmod("feature_id", F.lit(per_part)).alias("offset_in_part"), "sample_id", "present", "value")
+
+
+def physical_order(cells: DataFrame, per_part: int) -> DataFrame:
+    """Cells of a request in the order in which they are stored, by part and place, whatever the request's order."""
+    part, offset = F.floor(F.col("feature_id") / per_part).cast("int"), F.pmod("feature_id", F.lit(per_part)).cast("int")
+    return cells.withColumns({"part_id": part, "offset_in_part": offset}).orderBy("part_id", "offset_in_part", "sample_ordinal", "feature_ordinal")
+
+
 def cells(dense: DataFrame, feature_ids: Sequence[int], sample_ids: Sequence[int], per_part: int | None = None) -> DataFrame:
-    """(feature_ordinal, sample_ordinal, feature_id, sample_id, present, value) in request order, repeats included.
+    """(feature_ordinal, sample_ordinal, feature_id, sample_id, present, value), repeats included: order by the ordinals for the request's order.
 
     Ids that the grid lacks come back as not present. The ids reach the scan as filters.
     """

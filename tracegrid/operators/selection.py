@@ -12,6 +12,8 @@ from tracegrid.operators.stats import pair_r2, selection_stats
 
 @dataclass(frozen=True)
 class SelectionOptions:
+    """What a request may set; the names are the kept public interface of a selection."""
+
     y_col: str = "y"
     y_r2_threshold: float = 0.01
     min_non_null_y: int = 200
@@ -29,10 +31,10 @@ def candidates(stats: DataFrame, o: SelectionOptions) -> DataFrame:
     return ranked.where(F.col("rank") <= o.max_candidates) if o.max_candidates > 0 else ranked
 
 
-def redundancy_edges(raw: DataFrame, ranked: DataFrame, o: SelectionOptions) -> DataFrame:
-    """(lo, hi, n, r2) in ranks, lo < hi: pairs of candidates that say the same."""
+def redundancy_edges(raw: DataFrame, ranked: DataFrame, o: SelectionOptions, after: int | None = None) -> DataFrame:
+    """(lo, hi, n, r2) in ranks, lo < hi (with `after`, hi > after): pairs of candidates that say the same."""
     cells = raw.join(ranked.select("feature_id", "rank"), "feature_id").select("sample_id", F.col("rank").alias("feature_id"), "value")
-    return pair_r2(cells, o.min_non_null_pair).where((F.col("n") >= o.min_non_null_pair) & (F.col("r2") >= o.ff_r2_threshold))
+    return pair_r2(cells, o.min_non_null_pair, after).where((F.col("n") >= o.min_non_null_pair) & (F.col("r2") >= o.ff_r2_threshold))
 
 
 def greedy(ranked: DataFrame, edges: DataFrame, top_m: int) -> DataFrame:
@@ -47,7 +49,46 @@ def greedy(ranked: DataFrame, edges: DataFrame, top_m: int) -> DataFrame:
     return listed.select(F.explode(taken).alias("rank")).join(ranked, "rank")
 
 
+def grow_cap(cap: int, most: int) -> int:
+    """How many candidates the next stage looks at: twice as many, but at most `most` more."""
+    return cap + min(cap, most)
+
+
+def staged(raw: DataFrame, ranked: DataFrame, o: SelectionOptions, first: int = 256, most: int = 2048) -> DataFrame:
+    """The features that `greedy` takes, by stages of candidates that stop once top_m are taken.
+
+    A candidate is judged only by better ones that were taken, so a stage compares its own candidates with each other
+    and with what was taken before: pairs grow with top_m and the stage, not with the square of all candidates. The
+    driver keeps the ranks taken, at most top_m.
+    """
+    total, taken, before, cap = ranked.count(), [], 0, max(1, first)
+    while before < total and len(taken) < o.top_m:
+        stage = ranked.where(F.col("rank").isin(taken) | F.col("rank").between(before + 1, cap))
+        edges = redundancy_edges(raw, stage, o, after=before)
+        taken = sorted(r["rank"] for r in greedy(stage, edges, o.top_m).select("rank").collect())
+        before, cap = cap, grow_cap(cap, most)
+    return ranked.where(F.col("rank").isin(taken))
+
+
 def select_features(raw: DataFrame, features: DataFrame, samples: DataFrame, o: SelectionOptions) -> DataFrame:
     """(rank, feature_id, r2y, n_y_overlap) of the selected features."""
+    return staged(raw, candidates(selection_stats(raw, features, samples, [o.y_col]), o), o)
+
+
+def selection_result(raw: DataFrame, features: DataFrame, samples: DataFrame, o: SelectionOptions) -> DataFrame:
+    """Every candidate (rank, feature_id, feature_key where the axis has keys, r2y, n_y_overlap) and whether it was selected."""
     ranked = candidates(selection_stats(raw, features, samples, [o.y_col]), o)
-    return greedy(ranked, redundancy_edges(raw, ranked, o), o.top_m)
+    chosen = staged(raw, ranked, o).select("rank", F.lit(True).alias("selected"))
+    out = ranked.join(chosen, "rank", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    return out.join(features.select(F.col("feature_id").cast("int").alias("feature_id"), "feature_key"), "feature_id", "left") if "feature_key" in features.columns else out
+
+
+def mask_groups(raw: DataFrame) -> DataFrame:
+    """(feature_id, group_id, n_features): features present in the same samples share a group, named by its smallest feature.
+
+    Sets of samples are told apart by their size and two sums of 64-bit hashes, combined before the shuffle.
+    """
+    h = lambda salt: F.sum(F.xxhash64("sample_id", F.lit(salt)).cast("decimal(38,0)"))
+    marks = raw.groupBy("feature_id").agg(F.struct(F.count("*"), h("a"), h("b")).alias("mark"))
+    groups = marks.groupBy("mark").agg(F.min("feature_id").alias("group_id"), F.count("*").alias("n_features"))
+    return marks.join(groups, "mark").select("feature_id", "group_id", "n_features")

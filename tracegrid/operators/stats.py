@@ -1,4 +1,4 @@
-"""Masked squared correlation, from sums over the cells present: one feature against targets, and feature pairs."""
+"""Masked squared correlation, from centred moments of the cells present: one feature against targets, and feature pairs."""
 
 from __future__ import annotations
 
@@ -7,20 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+MOMENTS = ("n", "vx", "vy", "cov")
 
 
 def moments(x: Column, y: Column) -> list[Column]:
-    return [F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy")]
+    """Centred as they are gathered and merged, so that a large offset costs no digits."""
+    return [F.count("*").alias("n"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("cov")]
 
 
 def r2_of_moments(least: int = 2) -> Column:
     """0.0 with fewer than max(2, least) pairs, for constant input and where infinities leave no number."""
-    n, sx, sy, sxx, syy, sxy = (F.col(m).cast("double") for m in MOMENTS)
-    vx, vy, cov = n * sxx - sx * sx, n * syy - sy * sy, n * sxy - sx * sy
-    both = vx * vy
-    ok = (F.col("n") >= max(2, least)) & (vx > 0) & (vy > 0) & ~F.isnan(both) & (both > 0)
-    r2 = cov * cov / F.when(ok, both)
+    n, vx, vy, cov = (F.col(m) for m in MOMENTS)
+    ok = (n >= max(2, least)) & (vx > 0) & (vy > 0) & ~F.isnan(vx) & ~F.isnan(vy)
+    r2 = (cov / F.when(ok, vx)) * (cov / F.when(ok, vy))
     return F.when(ok & ~F.isnan(r2), F.least(r2, F.lit(1.0))).otherwise(F.lit(0.0))
 
 
@@ -53,8 +52,8 @@ def top_features(stats: DataFrame, k: int, y_col: str | None = None) -> DataFram
     return rows.orderBy(F.desc_nulls_last("r2y"), F.asc("feature_id")).limit(k)
 
 
-def pair_moments(raw: DataFrame) -> DataFrame:
-    """Sums for each pair of features (lo < hi) over the samples that have both.
+def pair_moments(raw: DataFrame, after: int | None = None) -> DataFrame:
+    """Moments of each pair of features (lo < hi; with `after`, hi > after) over the samples that have both.
 
     Cells are gathered by sample once; pairs are formed within a sample and summed before they are shuffled, so what
     moves is the cells plus one row for each pair and task. Restrict `raw` to candidates first: a sample makes a
@@ -64,9 +63,11 @@ def pair_moments(raw: DataFrame) -> DataFrame:
     first = by_sample.select("c", F.posexplode("c").alias("i", "a"))
     rest = F.slice("c", F.col("i") + 2, F.size("c"))
     pairs = first.where(F.col("i") + 1 < F.size("c")).select("a", F.explode(rest).alias("b"))
+    if after is not None:
+        pairs = pairs.where(F.col("b.feature_id") > after)
     cols = pairs.select(F.col("a.feature_id").alias("lo"), F.col("b.feature_id").alias("hi"), F.col("a.value").alias("x"), F.col("b.value").alias("y"))
     return cols.groupBy("lo", "hi").agg(*moments(F.col("x"), F.col("y")))
 
 
-def pair_r2(raw: DataFrame, least: int = 2) -> DataFrame:
-    return pair_moments(raw).select("lo", "hi", "n", r2_of_moments(least).alias("r2"))
+def pair_r2(raw: DataFrame, least: int = 2, after: int | None = None) -> DataFrame:
+    return pair_moments(raw, after).select("lo", "hi", "n", r2_of_moments(least).alias("r2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from tracegrid.sources import storage
 KIND, VERSION = "tracegrid-scalar", 1
 #: Samples of one feature that a row gathers while the grid is filled: bounds the longest row.
 SPAN = 4096
+STATS = "feature_id int, part_id int, offset_in_part int, r2y double, n_y_overlap int, y_col string"
 
 
 def dense_rows(raw: DataFrame, n_samples: int, n_features: int, per_part: int, tasks: int) -> DataFrame:
@@ -27,14 +28,15 @@ def dense_rows(raw: DataFrame, n_samples: int, n_features: int, per_part: int, t
     spark = raw.sparkSession
     spans = -(-n_samples // SPAN)
     cells = raw.select("feature_id", F.floor(F.col("sample_id") / SPAN).cast("long").alias("span"), F.struct("sample_id", "value").alias("c"))
-    slot = F.lit(None).cast(cells.schema["c"].dataType)
+    slot = F.lit(None).cast(cells.schema["c"].dataType)  # marks a span that may hold no cell
     slots = spark.range(n_features * spans).select(F.floor(F.col("id") / max(1, spans)).cast("int").alias("feature_id"), F.pmod("id", F.lit(max(1, spans))).alias("span"), slot.alias("c"))
     rows = cells.unionByName(slots).repartitionByRange(tasks, "feature_id", "span")
-    got = rows.groupBy("feature_id", "span").agg(F.map_from_entries(F.collect_list("c")).alias("cells"))
+    got = rows.groupBy("feature_id", "span").agg(F.collect_list("c").alias("c"))
     first = F.col("span") * SPAN
-    wide = got.select("feature_id", "cells", F.explode(F.sequence(first, F.least(first + SPAN, F.lit(n_samples).cast("long")) - 1)).alias("sample_id"))
-    cell = F.try_element_at("cells", F.col("sample_id"))
-    out = wide.select("feature_id", "sample_id", cell.isNotNull().cast("short").alias("mask"), F.coalesce(cell, F.lit(float("nan"))).alias("value"))
+    at = F.transform("c", lambda c: F.struct((c["sample_id"] - first).cast("int").alias("at"), c["value"].alias("value")))
+    wide = got.select("feature_id", first.alias("first"), F.posexplode(scalar.slots(at, F.least(first + SPAN, F.lit(n_samples).cast("long")) - first)).alias("i", "cell"))
+    cell = F.col("cell")
+    out = wide.select("feature_id", (F.col("first") + F.col("i")).alias("sample_id"), cell.isNotNull().cast("short").alias("mask"), F.coalesce(cell, F.lit(float("nan"))).alias("value"))
     return out.withColumn("part_id", F.floor(F.col("feature_id") / per_part).cast("int")).sortWithinPartitions("part_id", "feature_id", "sample_id")
 
 
@@ -47,10 +49,13 @@ def build(raw: DataFrame, samples: DataFrame, features: DataFrame, path: str, y_
     per_part = per_part or scalar.features_per_part(n_samples, target_bytes)
     storage.begin(spark, path, overwrite)
     tasks = max(1, -(-scalar.ROW_BYTES * n_samples * n_features // target_bytes))
-    dense_rows(raw, n_samples, n_features, per_part, tasks).write.partitionBy("part_id").mode("overwrite").parquet(f"{path}/parts")
+    parts = dense_rows(raw, n_samples, n_features, per_part, tasks).write.partitionBy("part_id").mode("overwrite")
+    # a row group of about the least features of a part, so that a feature is a small share of what a reader touches
+    group = min(128 << 20, max(1 << 20, scalar.ROW_BYTES * n_samples * scalar.LEAST_FEATURES))
+    parts.option("compression", "zstd").option("parquet.block.size", group).parquet(f"{path}/parts")
     for name, df in (("locator", scalar.locator(spark, n_features, n_samples, per_part)), ("samples", samples), ("features", features)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    stats.selection_stats(raw, features, samples, list(y_cols), per_part).write.mode("overwrite").parquet(f"{path}/stats")
+    stats.selection_stats(raw, features, samples, list(y_cols), per_part).write.partitionBy("y_col").mode("overwrite").parquet(f"{path}/stats")
     root = {"format": KIND, "version": VERSION, "n_samples": n_samples, "n_features": n_features, "features_per_part": per_part, "n_parts": -(-n_features // per_part), "y_cols": list(y_cols)}
     written = spark.read.schema(_part_schema()).parquet(f"{path}/parts").count() if n_samples and n_features else 0
     if written != n_samples * n_features:
@@ -119,14 +124,36 @@ class ScalarDataset:
             axes.check_range(s, self.n_samples, "sample")
         return scalar.cells(self.dense, f, s, self.per_part)
 
+    def rows(self, part_id: int, offsets: Sequence[int]) -> DataFrame:
+        """The features at the given places of a part."""
+        axes.check_range([part_id], self.root["n_parts"], "part")
+        return scalar.part_rows(self.dense, part_id, offsets, self.per_part)
+
+    def iter_cells(self, feature_ids: Sequence[int], sample_ids: Sequence[int], batch_size: int = 128, **kw) -> Iterator[DataFrame]:
+        """cells() for batches of features, one frame each."""
+        for k in range(0, len(feature_ids), batch_size):
+            yield self.cells(feature_ids[k : k + batch_size], sample_ids, **kw)
+
+    def decorate(self, rows: DataFrame) -> DataFrame:
+        """Rows with the keys of their ids; ids without a key get null."""
+        for axis, meta in (("feature", self.features), ("sample", self.samples)):
+            if f"{axis}_id" in rows.columns and f"{axis}_key" in meta.columns:
+                rows = rows.join(meta.select(F.col(f"{axis}_id").cast(rows.schema[f"{axis}_id"].dataType).alias(f"{axis}_id"), f"{axis}_key"), f"{axis}_id", "left")
+        return rows
+
     def value(self, feature_id: int, sample_id: int, strict: bool = False) -> tuple[bool, float | None]:
         r = self.cells([feature_id], [sample_id], strict=strict).first()
         return r["present"], r["value"]
 
+    def value_by_key(self, feature_key, sample_key) -> tuple[bool, float | None]:
+        """Keys that the axes lack are NotFoundErrors."""
+        r = self.cells(feature_keys=[feature_key], sample_keys=[sample_key]).first()
+        return r["present"], r["value"]
+
     def stats(self, y_col: str) -> DataFrame:
         if y_col not in self.root["y_cols"]:
             raise NotFoundError(f"there are no statistics of {y_col!r}")
-        return self.spark.read.parquet(f"{self.path}/stats").where(F.col("y_col") == y_col)
+        return self.spark.read.schema(STATS).parquet(f"{self.path}/stats").where(F.col("y_col") == y_col)  # reads the target's folder alone
 
     def top_features(self, y_col: str, k: int = 256) -> DataFrame:
         return stats.top_features(self.stats(y_col), k)
@@ -139,7 +166,7 @@ class ScalarDataset:
     def select_features(self, options: selection.SelectionOptions) -> DataFrame:
         """(rank, feature_id, r2y, n_y_overlap): candidates come from the sidecar, only their parts are read for pairs."""
         ranked = selection.candidates(self.stats(options.y_col), options)
-        return selection.greedy(ranked, selection.redundancy_edges(self.raw, ranked, options), options.top_m)
+        return selection.staged(self.raw, ranked, options)
 
     def violations(self) -> DataFrame:
         """(fault, detail) for repeated or absent cells, masks at odds with values and ids in the wrong part; no rows, no faults."""

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tracegrid.functions.values import hashed_normal, hashed_uniform
 
 
-def scalar_cells(spark: SparkSession, n_samples: int, n_features: int, seed: int = 0, density: float = 0.8, group: int = 8, noise: float = 0.5) -> DataFrame:
-    """(sample_id, feature_id, value): features of a group share a latent value of each sample and so are redundant.
+def scalar_cells(spark: SparkSession, n_samples: int, n_features: int, seed: int = 0, density: float = 0.8, group: int = 8, noise: float = 0.5, start: int = 0) -> DataFrame:
+    """(sample_id, feature_id, value) of samples start..n_samples-1: features of a group share a latent value of each sample and so are redundant.
 
-    Every other feature of a group follows it with the opposite sign.
+    Every other feature of a group follows it with the opposite sign. A range of samples has the same cells as in the whole grid.
     """
     i = F.col("id")
-    grid = spark.range(n_samples * n_features).select(F.floor(i / n_features).alias("sample_id"), F.pmod(i, F.lit(max(1, n_features))).cast("int").alias("feature_id"))
+    grid = spark.range(start * n_features, n_samples * n_features).select(F.floor(i / n_features).alias("sample_id"), F.pmod(i, F.lit(max(1, n_features))).cast("int").alias("feature_id"))
     s, f = F.col("sample_id"), F.col("feature_id")
     latent = hashed_normal(seed, s, F.floor(f / group), F.lit("latent"))
     own = hashed_normal(seed, s, f, F.lit("own"))
