@@ -491,6 +491,23 @@ def test_licence_query_finds_all_notices(spark, edge, empty):
     assert licenses.scan_licenses(edge).count() == edge.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_pipeline_stages_on_edges(spark, sf, edge, empty):
+    """Every stage on null, empty, repeated and very long texts, null ids and clashing columns, one after the other; and on no rows."""
+    import corpus_pipeline
+
+    names = "__id", "__gone", "y", "u", "v", "node", "dir", "digest"
+    docs = edge.select("*", *[F.lit(1).alias(n) for n in names])
+    left = {"language": [4, 5, 6, 7, 8, 9, 9, 10, 11, None], "exact": [5, 6, 7, 8, 9, 10, 11, None], "near": [5, 6, 7, 8, 9, 10, 11, None], "decontaminated": [5, 6, 7, 8, 9, 10, 11, None]}
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, sf)
+        assert none.count() == 0
+        columns, docs = docs.columns, stage(spark, docs, sf)
+        if name in left:
+            assert docs.columns == columns
+            assert sorted((r["doc_id"] for r in docs.select("doc_id").collect()), key=lambda d: (d is None, d)) == left[name], name
+    assert {r["doc_id"] for r in docs.collect()} == set(left["decontaminated"])
+
+
 def test_pipeline(spark, sf):
     """Against a plain version: each stage's decisions on what its predecessor kept."""
     import corpus_pipeline
