@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracegrid.errors import DataError
+from tracegrid.sources import storage
 
 
 def order_violations(rows: DataFrame, position: Column, keys: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
@@ -19,9 +20,12 @@ def order_violations(rows: DataFrame, position: Column, keys: Sequence[str], par
 
 def order_report(rows: DataFrame, position: Column, keys: Sequence[str], tasks: int = 200) -> DataFrame:
     """order_violations for a whole table without one task that reads it all: rows are dealt by ranges of `position`,
-    compared within their range, and each range's first row with the last row before it (one row for each range)."""
+    compared within their range, and each range's first row with the last row before it (one row for each range).
+
+    The dealt rows are written once: two evaluations would draw the ranges' bounds from different samples."""
     k = F.struct(*keys)
     dealt = rows.withColumn("__at", position).repartitionByRange(tasks, "__at").withColumn("__range", F.spark_partition_id())
+    dealt = storage.stored(dealt, storage.scratch_path(rows.sparkSession, "order"))
     w = Window.partitionBy("__range").orderBy("__at")
     inside = dealt.withColumn("__before", F.lag(k).over(w))
     last = dealt.groupBy("__range").agg(F.max_by(k, F.col("__at")).alias("__last"))
