@@ -175,6 +175,21 @@ def test_planted_near_copies(spark, hot, block):
     assert gone <= want and len(gone) >= 0.97 * len(want) > 100
 
 
+@pytest.mark.parametrize("leaders", [8, 1])
+def test_one_long_family(spark, monkeypatch, leaders):
+    """One family in many blocks, of two groups and texts apart, gives exactly what all pairs give, however many leaders there are."""
+    monkeypatch.setattr(similar, "LEADERS", leaders)
+    r, rows = random.Random(5), []
+    base = [f"w{r.randrange(400)}" for _ in range(120)]
+    far = edited(base, 0.08, r)
+    for k in range(150):
+        rows.append((k, " ".join(edited(far if k % 3 else base, 0.004 if k % 5 else 0.06, r))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {d for d, _ in plain_near(rows)}
+    gone = {x["doc_id"] for x in similar.near_copies(docs, hot=3, block=14_000).collect()}
+    assert gone == want and 20 < len(gone) < 149
+
+
 def test_near_copies_of_edges(spark, edge, empty):
     kept = similar.keep_one(edge)
     got = sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect())
