@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracegrid.__main__ import main
-from tracegrid.errors import DataError
+from tracegrid.errors import DataError, RequestError
 from tracegrid.functions import values
 from tracegrid.schema import RAW, PointColumn, PointSchema
-from tracegrid.sources import binary_blocks, scalar_store, trace_store
+from tracegrid.sources import binary_blocks, block_dataset, scalar_store, trace_store
+from tracegrid.sources.builders import ScalarBuilder, TraceBuilder
 from tracegrid.sources.service import Service, serve
 from tracegrid.sources.session import Session
 
@@ -33,6 +34,7 @@ def sets(spark, tmp_path_factory):
     points = spark.createDataFrame([(0, 0, 0, 5, 1.5), (0, 0, 1, 1_000_000_007, float("nan"))], "sample_id long, feature_id int, point_idx int, time long, value double")
     trace_store.build(index, points, POINTS, samples, features, f"{root}/traces")
     binary_blocks.write(index, points, POINTS, 3, 2, f"{root}/blocks", per_block=2)
+    block_dataset.build(index, points, POINTS, samples.drop("y"), features, f"{root}/keyed", per_block=2)
     for name, df in (("index", index), ("points", points)):
         df.write.parquet(f"{root}/{name}")
     return root
@@ -97,6 +99,10 @@ def test_trace_routes(spark, sets):
     status, got = s.handle("POST", "/array-feature", blocks)
     assert status == 200 and [[(t["sample_id"], t["flags"], t["columns"]["time"]) for t in f["traces"]] for f in got["features"]] == [[(2, 3, []), (0, 0, [])], [(2, 0, []), (0, 1, times)]]
     assert s.handle("POST", "/array-schema", blocks | {"include_dictionaries": True})[1]["categorical_dictionaries"] == {}
+    keyed = {"manifest_path": f"{sets}/keyed", "feature_keys": ["b", "a"], "sample_keys": ["s2", "s0"]}
+    status, same = s.handle("POST", "/array-feature", keyed)
+    assert status == 200 and [[(t["sample_key"], t["flags"], t["columns"]["time"]) for t in f["traces"]] for f in same["features"]] == [[("s2", 3, []), ("s0", 0, [])], [("s2", 0, []), ("s0", 1, times)]]
+    assert s.handle("POST", "/array-feature", keyed | {"feature_keys": ["?"]})[0] == 404 and s.handle("POST", "/array-feature", {"manifest_path": f"{sets}/blocks", "feature_keys": ["a"]})[0] == 400
     assert s.handle("POST", "/array-feature", blocks | {"feature_keys": ["a"]})[0] == 400 and s.handle("POST", "/array-feature", blocks | {"feature_ids": [2]})[0] == 404
     assert len(s.cache_stats({})["entries"]) == 1
 
@@ -128,6 +134,57 @@ def test_command_line(spark, sets, tmp_path, capsys):
     traces = f"file://{tmp_path}/t"
     assert main(["build-traces", *[f"{sets}/{x}" for x in ("index", "points", "samples", "features")], traces, "--column", "time:int64:timestamp_ns", "--column", "value:float64:continuous"], spark) == 0
     assert main(["validate", traces], spark) == 0
+    blocks = f"file://{tmp_path}/b"
+    made = ["build-blocks", *[f"{sets}/{x}" for x in ("index", "points", "samples", "features")], blocks, "--column", "time:int64:timestamp_ns", "--column", "value:float64:continuous", "--per-block", "2", "--codec", "zstd"]
+    assert main(made, spark) == 0 and main(made, spark) == 2 and main([*made, "--overwrite"], spark) == 0
+    capsys.readouterr()
+    assert main(["locate", blocks, "1"], spark) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert (found["first_record"], found["n_records"]) == (2, 2) and main(["locate", blocks, "5"], spark) == 1 and main(["validate", blocks], spark) == 0
+
+
+def test_scalar_builder(spark, tmp_path):
+    path = f"file://{tmp_path}/b"
+    samples = spark.createDataFrame([(0, "s0", 1.0), (1, "s1", 2.0), (2, "s2", 3.0)], "sample_id long, sample_key string, y double")
+    features = spark.createDataFrame([(0, "a"), (1, "b")], "feature_id int, feature_key string")
+    with pytest.raises(RequestError):
+        ScalarBuilder(spark, path)
+    b = ScalarBuilder(spark, path, samples, features)
+    cell = lambda *rows: spark.createDataFrame(list(rows), RAW)
+    assert b.write("x", cell((0, 0, 1.0), (1, 0, 2.0))) and b.status()["pending"] == 1
+    cell((2, 0, 9.0)).write.parquet(f"{path}/stage/cells/died")
+    b = ScalarBuilder(spark, path)  # goes on where it was left
+    assert [r[0] for r in b.pending().collect()] == [2] and b.recover() == ["died"] and b.recover() == []
+    with pytest.raises(DataError):
+        b.build(f"{path}/out")
+    assert b.write("y", cell((2, 0, 4.0), (0, 1, 7.0)))  # sample 0 is complete already
+    b.update_features(spark.createDataFrame([(0, "m"), (1, "s")], "feature_id int, unit string"), require_all=True)
+    with pytest.raises(DataError):
+        b.update_features(spark.createDataFrame([(0, "m")], "feature_id int, unit string"))
+    d = b.build(f"{path}/out", ["y"])
+    assert d.value(0, 2) == (True, 4.0) and d.value(1, 0) == (False, None) and "unit" in d.features.columns
+
+
+def test_trace_builder(spark, tmp_path):
+    path = f"file://{tmp_path}/b"
+    samples = spark.createDataFrame([(i, f"s{i}") for i in range(3)], "sample_id long, sample_key string")
+    features = spark.createDataFrame([(0, "a"), (1, "b")], "feature_id int, feature_key string")
+    b = TraceBuilder(spark, path, POINTS, samples, features)
+    b.add_trace(2, 1, {"time": [], "value": []})
+    b.add_trace(0, 0, {"time": [5, 9], "value": [1.5, 2.5]})
+    for bad in ({"time": [1]}, {"time": [1], "value": []}):
+        with pytest.raises(RequestError):
+            b.add_trace(0, 1, bad)
+    with pytest.raises(RequestError):
+        b.add_trace(0, 0, {"time": [], "value": []})
+    assert b.commit(2) and b.commit(0) and not b.commit(0)
+    with pytest.raises(DataError):
+        b.finish()
+    assert b.commit(1)  # without traces
+    d = b.build(f"{path}/out")
+    assert [(r["sample_id"], r["feature_id"], r["time"]) for r in d.get_traces(sample_ids=[0, 1, 2]).collect()] == [(0, 0, [5, 9]), (2, 1, [])]
+    blocks = b.build_blocks(f"{path}/blocks", per_block=2)
+    assert blocks.trace("a", "s0")["value"] == [1.5, 2.5] and blocks.trace("b", "s2")["present"] and not blocks.trace("b", "s0")["present"] and blocks.violations().count() == 0
 
 
 def test_compaction(spark, tmp_path):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tracegrid.errors import DataError, NotFoundError, RequestError
 from tracegrid.operators import selection
 from tracegrid.schema import RAW, PointColumn, PointSchema
-from tracegrid.sources import scalar_store, service, storage, trace_store
+from tracegrid.sources import binary_blocks, block_dataset, scalar_store, service, storage, trace_store
 from tracegrid.sources.session import Session
 
 
@@ -21,7 +21,9 @@ def _show(df: DataFrame) -> None:
         print(json.dumps(r.asDict(recursive=True), default=str))
 
 
-def _open(spark: SparkSession, path: str) -> scalar_store.ScalarDataset | trace_store.TraceDataset:
+def _open(spark: SparkSession, path: str) -> scalar_store.ScalarDataset | trace_store.TraceDataset | block_dataset.BlockDataset:
+    if storage.exists(spark, f"{path}/{binary_blocks.ROOT}"):
+        return block_dataset.BlockDataset(spark, path)
     kind = storage.read_json(spark, f"{path}/manifest.json").get("format")
     return (trace_store.TraceDataset if kind == trace_store.KIND else scalar_store.ScalarDataset)(spark, path)
 
@@ -39,8 +41,19 @@ def _build_traces(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _build_blocks(spark: SparkSession, a: argparse.Namespace) -> int:
+    columns = PointSchema(tuple(PointColumn(*c.split(":")) for c in a.column))
+    tables = [spark.read.parquet(p) for p in (a.index, a.points, a.samples, a.features)]
+    d = block_dataset.build(*tables[:2], columns, *tables[2:], a.out, overwrite=a.overwrite, per_block=a.per_block, shard_bytes=a.shard_bytes, codec=a.codec)
+    print(json.dumps(d.schema()))
+    return 0
+
+
 def _locate(spark: SparkSession, a: argparse.Namespace) -> int:
-    found = scalar_store.ScalarDataset(spark, a.path).locate(a.feature)
+    d = _open(spark, a.path)
+    if isinstance(d, trace_store.TraceDataset):
+        raise RequestError("traces by sample have no place of a feature")
+    found = d.locate(a.feature)
     print(json.dumps(found) if found else "NOT_FOUND")
     return 0 if found else 1
 
@@ -85,6 +98,12 @@ def parser() -> argparse.ArgumentParser:
     p = command("build-traces", _build_traces, "index", "points", "samples", "features", "out")
     p.add_argument("--column", action="append", required=True, help="name:storage:logical of a point column; may be repeated")
     p.add_argument("--overwrite", action="store_true")
+    p = command("build-blocks", _build_blocks, "index", "points", "samples", "features", "out")
+    p.add_argument("--column", action="append", required=True, help="name:storage:logical of a point column; may be repeated")
+    p.add_argument("--per-block", type=int, default=16)
+    p.add_argument("--shard-bytes", type=int, default=32 << 20)
+    p.add_argument("--codec", choices=sorted(binary_blocks.CODECS), default="none")
+    p.add_argument("--overwrite", action="store_true")
     command("locate", _locate, "path").add_argument("feature", type=int)
     p = command("select", _select, "path")
     o = selection.SelectionOptions()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +58,26 @@ def feature_estimates(index: DataFrame, per_block: int) -> DataFrame:
     return index.groupBy("feature_id").agg(F.sum(F.col("trace_len").cast("long")).alias("n_points"), F.countDistinct(block_of(F.col("sample_id"), per_block)).alias("n_blocks"))
 
 
+def _packed(budget: int, id_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, used = -1, 0
+        for b in batches:
+            parts = np.empty(b.num_rows, np.int32)
+            for k, size in enumerate(b.column(1).to_pylist()):
+                if part < 0 or used + size > budget:
+                    part, used = part + 1, 0
+                used += size
+                parts[k] = part
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts)], names=[id_col, "part_id"])
+
+    return run
+
+
 def bin_pack(sizes: DataFrame, id_col: str, size_col: str, budget: int) -> DataFrame:
     """(id, part_id): runs of ids in order, each closed before its total would pass the budget; an oversized id is alone.
 
-    A fold over one small row for each id (parts of an axis), not over data.
+    Where a run ends depends on all before it, so one task reads one small row for each id of an axis, in order and in
+    constant memory; data are not read.
     """
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).cast("long").alias("id"), F.col(size_col).cast("long").alias("size")))).alias("all"))
-    start = F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,part_id:int>>").alias("out"))
-
-    def step(acc, x):
-        fresh = (acc["part"] < 0) | (acc["used"] + x["size"] > budget)
-        part = F.when(fresh, acc["part"] + 1).otherwise(acc["part"])
-        used = F.when(fresh, x["size"]).otherwise(acc["used"] + x["size"])
-        return F.struct(part.alias("part"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["id"].alias("id"), part.alias("part_id")))).alias("out"))
-
-    return listed.select(F.explode(F.aggregate("all", start, step, lambda acc: acc["out"])).alias("e")).select(F.col("e.id").alias(id_col), F.col("e.part_id").alias("part_id"))
+    listed = sizes.select(F.col(id_col).cast("long").alias(id_col), F.col(size_col).cast("long").alias("size"))
+    return listed.repartition(1).sortWithinPartitions(id_col).mapInArrow(_packed(budget, id_col), f"{id_col} long, part_id int")

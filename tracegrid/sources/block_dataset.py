@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracegrid import axes
-from tracegrid.errors import NotFoundError
+from tracegrid.errors import DataError, NotFoundError, RequestError
 from tracegrid.operators import checks
-from tracegrid.sources import binary_blocks
+from tracegrid.schema import PointSchema
+from tracegrid.sources import binary_blocks, storage
 
 
 def save_axes(uri: str, samples: DataFrame, features: DataFrame, dictionaries: DataFrame | None = None) -> None:
@@ -22,12 +23,28 @@ def save_axes(uri: str, samples: DataFrame, features: DataFrame, dictionaries: D
         df.write.mode("overwrite").parquet(f"{uri}/axes/{name}")
 
 
+def build(index: DataFrame, points: DataFrame, schema: PointSchema, samples: DataFrame, features: DataFrame, uri: str, dictionaries: DataFrame | None = None, overwrite: bool = False, **options) -> BlockDataset:
+    """Write blocks with their axes, and open them. The root, written last, goes first if a dataset is replaced."""
+    spark = index.sparkSession
+    if storage.exists(spark, f"{uri}/{binary_blocks.ROOT}"):
+        if not overwrite:
+            raise DataError(f"{uri} holds a dataset already")
+        storage.remove(spark, f"{uri}/{binary_blocks.ROOT}")
+        storage.remove(spark, f"{uri}/{binary_blocks.FOLDER}")
+    save_axes(uri, samples, features, dictionaries)
+    binary_blocks.write(index, points, schema, samples.count(), features.count(), uri, **options)
+    return BlockDataset(spark, uri)
+
+
 class BlockDataset:
     """Lookups in a written binary dataset; strict requests, and those by key, fail on what the axes lack."""
 
     def __init__(self, spark: SparkSession, uri: str) -> None:
         self.spark, self.uri = spark, uri
 
+    def has_axes(self) -> bool:
+        return storage.exists(self.spark, f"{self.uri}/axes/samples/_SUCCESS") and storage.exists(self.spark, f"{self.uri}/axes/features/_SUCCESS")
+
     def _axis(self, axis: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.uri}/axes/{axis}s")
 
@@ -37,6 +54,15 @@ class BlockDataset:
     def dictionaries(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.uri}/axes/dictionaries")
 
+    def locate(self, feature_id: int) -> dict | None:
+        """The shard of a feature and the run of index records that are its blocks, or None."""
+        root = storage.read_json(self.spark, f"{self.uri}/{binary_blocks.ROOT}")
+        for s in root["shards"]:
+            if s["feature_id_start"] <= feature_id <= s["feature_id_end"]:
+                first = (feature_id - s["feature_id_start"]) * root["blocks_per_feature"]
+                return {"feature_id": feature_id, "shard_id": s["shard_id"], "first_record": first, "n_records": root["blocks_per_feature"], "blocks_index_name": s["blocks_index_name"]}
+        return None
+
     def has(self, axis: str, key) -> bool:
         """Whether the axis ("feature" or "sample") has a key."""
         return bool(self._axis(axis).where(F.col(f"{axis}_key") == str(key)).head(1))
@@ -44,6 +70,8 @@ class BlockDataset:
     def _ids(self, axis: str, ids: Sequence[int] | None, keys: Sequence | None, strict: bool) -> list[int]:
         axes.exactly_one(ids, keys, axis)
         if keys is not None:
+            if not self.has_axes():
+                raise RequestError(f"{self.uri} has no keys")
             return axes.resolve_keys(self._axis(axis), f"{axis}_key", f"{axis}_id", keys)
         if strict:
             axes.check_range(ids, self._axis(axis).count(), axis)

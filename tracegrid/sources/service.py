@@ -21,7 +21,7 @@ from tracegrid.errors import DataError, NotFoundError, RequestError, TooLargeErr
 from tracegrid.functions.temporal import format_ns_array
 from tracegrid.functions.values import finite_or_null, finite_or_null_array
 from tracegrid.operators import selection
-from tracegrid.sources import binary_blocks, scalar_store, storage, trace_store
+from tracegrid.sources import binary_blocks, block_dataset, scalar_store, storage, trace_store
 
 #: Defaults of the bounds, and of the store of open datasets.
 MAX_CELLS, MAX_FEATURES, MAX_TRACES, MAX_OPEN, IDLE_SECONDS = 100_000, 10_000, 10_000, 16, 1800
@@ -224,13 +224,12 @@ class Service:
         return out | ({"categorical_dictionaries": self._dictionaries(root)} if body.get("include_dictionaries") else {})
 
     def block_feature(self, body: Body) -> dict:
-        """Traces of features in request order; a sample without a trace has flags 0. Blocks have ids only, no keys."""
+        """Traces of features in request order, by ids or keys; a sample without a trace has flags 0. Blocks without axes have ids only."""
         root = self._dataset(body, "blocks")
         (features, f_keys), (samples, s_keys) = _one(body, "feature"), _one(body, "sample")
-        if f_keys is not None or s_keys is not None:
-            raise RequestError("binary blocks are asked for by ids")
-        axes.exactly_one(features, None, "feature")
-        samples = list(samples) if samples is not None else list(range(root["n_samples"]))
+        d = block_dataset.BlockDataset(self.spark, root["path"])
+        features = d._ids("feature", features, f_keys, strict=False)
+        samples = list(range(root["n_samples"])) if samples is None and s_keys is None else d._ids("sample", samples, s_keys, strict=False)
         axes.check_range(features, root["n_features"], "feature")
         axes.check_range(samples, root["n_samples"], "sample")
         _at_most(len(features) * len(samples), int(body.get("max_traces", MAX_TRACES)), "traces")
@@ -246,7 +245,8 @@ class Service:
             columns = {n: [decoded[n].get(x) for x in r[n]] if n in decoded else list(r[n]) for n in names}
             got[r["feature_id"], r["sample_id"]] = {"flags": r["flags"], "trace_len": r["trace_len"], "columns": columns}
         missing = {"flags": 0, "trace_len": 0, "columns": {n: [] for n in names}}
-        items = [{"feature_id": f, "traces": [{"sample_id": s} | got.get((f, s), missing) for s in samples]} for f in features]
+        f_named, s_named = (_keys(d._axis(a), a, ids) for a, ids in (("feature", features), ("sample", samples))) if d.has_axes() else ({}, {})
+        items = [{"feature_id": f, "feature_key": f_named.get(f), "traces": [{"sample_id": s, "sample_key": s_named.get(s)} | got.get((f, s), missing) for s in samples]} for f in features]
         return {"manifest_path": root["path"], "feature_count": len(features), "sample_count": len(samples), "features": items}
 
 
