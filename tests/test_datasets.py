@@ -97,6 +97,32 @@ def test_stages_take_what_one_walk_takes(spark, first, most, top_m):
     assert {r["rank"] for r in selection.staged(raw, ranked, o, first, most).collect()} == whole and whole
 
 
+@pytest.mark.parametrize("tile,span", [(stats.TILE, stats.SPAN), (3, 7), (1, 100)])
+@pytest.mark.parametrize("after", [None, 4])
+def test_pair_moments_in_tiles(spark, tile, span, after):
+    """Against numpy, with absent cells, a constant, one that is constant beside some others, infinities and a far offset."""
+    r = np.random.default_rng(8)
+    grid = r.standard_normal((60, 10)) @ r.standard_normal((10, 10))
+    grid[:, 2] = 7.25
+    grid[:, 3] = 1.7e18 + 1e9 * grid[:, 3]  # nanoseconds, whose last digits a double does not hold: means of spans are rounded to 256
+    grid[:30, 5] = 0.1
+    grid[4, 6] = np.inf
+    there = r.random((60, 10)) < 0.8
+    there[30:, 7] = False
+    raw = spark.createDataFrame([(s, f, float(grid[s, f])) for s in range(60) for f in range(10) if there[s, f]], RAW)
+    got = {(x["lo"], x["hi"]): x for x in stats.pair_moments(raw, after, tile, span).withColumn("r2", stats.r2_of_moments()).collect()}
+    want = {(a, b) for a in range(10) for b in range(a + 1, 10) if after is None or b > after}
+    assert set(got) == want
+    for a, b in want:
+        both = there[:, a] & there[:, b]
+        x, y = (v[both] - v[both][0] if np.isfinite(v[both]).all() else v[both] for v in (grid[:, a], grid[:, b]))  # numpy's own mean is inexact far from zero
+        flat = len(set(x)) == 1 or len(set(y)) == 1 or not np.isfinite(x).all() or not np.isfinite(y).all()
+        expected = 0.0 if flat else np.corrcoef(x, y)[0, 1] ** 2
+        assert got[a, b]["n"] == both.sum() and got[a, b]["r2"] == pytest.approx(expected, abs=1e-6 if 3 in (a, b) else 1e-9)
+        assert not flat or got[a, b]["r2"] == 0.0
+    assert stats.pair_moments(raw.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("at", [[], [0], [4], [0, 1, 2, 3, 4], [1, 3], [3, 1]])
 def test_slots(spark, at):
     df = spark.createDataFrame([([(a, a * 1.5) for a in at],)], "c array<struct<at:int,value:double>>")
