@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tracegrid.llm import similar, simhash
+from tracegrid.llm import components, similar, simhash
 from tracegrid.llm.components import connected_components
 
 
@@ -205,3 +205,35 @@ def test_near_copies_of_edges(spark, edge, empty):
 def test_components(spark, pairs):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == plain_components({x for p in pairs for x in p}, pairs)
+
+
+def dense(r, groups, size):
+    """All pairs within groups of random numbers, and some self links."""
+    pairs = []
+    for _ in range(groups):
+        own = [r.getrandbits(64) - (1 << 63) for _ in range(size)]
+        pairs += [(a, b) for a in own for b in own if a < b] + [(own[0], own[0])]
+    alone = r.getrandbits(60)
+    return pairs + [(alone, alone)]
+
+
+@pytest.mark.parametrize("pairs", [[], [(1, 1)], [(1, 2), (2, 3), (9, 8), (5, 5), (1, 1)], [(i, i + 1) for i in range(300)], [(299 - i, 300 - i) for i in range(300)], dense(random.Random(8), 5, 30)])
+def test_stars(pairs):
+    u, v = np.array(pairs, np.int64).reshape(-1, 2).T
+    got = list(zip(*(x.tolist() for x in components.stars(u, v))))
+    want = plain_components({x for p in pairs for x in p}, pairs)
+    assert len(got) == len({a for a, _ in got}) and all(want[a] == b for a, b in got)
+    assert {x for p in got for x in p} == want.keys()
+
+
+@pytest.mark.parametrize("size,chunk", [(40, 1 << 19), (80, 1 << 19), (40, 250), (80, 500)])
+def test_joins_of_components_take_a_link_a_node(spark, monkeypatch, size, chunk):
+    """What the rounds join grows with the size of dense groups, not with its square; links of one chunk need no join."""
+    joined, large_star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: joined.append(edges.count()) or large_star(edges))
+    pairs = dense(random.Random(size), 6, size)
+    random.Random(9).shuffle(pairs)
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    got = {r["node"]: r["component"] for r in connected_components(links, chunk=chunk).collect()}
+    assert got == plain_components({x for p in pairs for x in p}, pairs)
+    assert max(joined, default=0) <= (0 if chunk > len(pairs) else 6 * 6 * size) < len(pairs)
