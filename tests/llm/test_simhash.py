@@ -190,6 +190,28 @@ def test_one_long_family(spark, monkeypatch, leaders):
     assert gone == want and 20 < len(gone) < 149
 
 
+def test_shared_bytes_are_tallied(spark):
+    """In a posting the bytes of the next keys are counted as by plain loops, around the end too; pairs of equal bits that share none but the key's go."""
+    r = np.random.default_rng(3)
+    tables, per = similar.TABLES, similar.PER_KEY
+    for none in (False, True):
+        own = r.integers(0, 256, (2, tables, per))
+        own[1] = np.where(r.random((tables, per)) < (0 if none else 0.3), own[0], (own[0] + 1) % 256)
+        met = [0, 7, tables - 3, tables - 1]
+        own[1, met] = own[0, met] if not none else own[1, met]
+        keys = [[int(t << 24 | sum(int(b) << 8 * i for i, b in enumerate(own[d, t]))) for t in range(tables)] for d in (0, 1)]
+        if none:
+            keys[1][9] = keys[0][9]
+        rows = similar._postings(spark.createDataFrame([(keys[d], 5, 6, d) for d in (0, 1)], "keys array<int>, fp long, fp2 long, node long")).collect()
+        by_key = [{x["key"]: x for x in rows if x["node"] == d} for d in (0, 1)]
+        for t in [9] if none else met:
+            a, b = (np.array([[x[keys[0][t]][c] for c in ("fp", "fp2", "next", "next2")]]).view(np.uint64) for x in by_key)
+            shared = per + sum(int(own[0, (t + k) % tables, i] == own[1, (t + k) % tables, i]) for k in range(1, 5) for i in range(per))
+            assert similar.shared_bytes(a ^ b).tolist() == [shared]
+            assert similar._loose(a ^ b).tolist() == [shared >= similar.NEEDED]
+        assert not none or shared == per
+
+
 def test_near_copies_of_edges(spark, edge, empty):
     kept = similar.keep_one(edge)
     got = sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect())
