@@ -491,6 +491,15 @@ def test_licence_query_finds_all_notices(spark, edge, empty):
     assert licenses.scan_licenses(edge).count() == edge.count() and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licence_query_inherits_where_the_table_has_paths(spark, tmp_path):
+    from tracegrid.llm.queries import op3_licenses
+
+    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "c/x.py", "code"), (4, None, "code"), (5, "a/y.py", "Licensed under CC BY 4.0.")]
+    spark.createDataFrame([(d, t, "src0", p) for d, p, t in rows], "doc_id long, text string, source string, path string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["path"], r["license"], r["origin"], r["license_dir"]) for r in op3_licenses(spark, str(tmp_path)).collect()}
+    assert got == {1: ("a/LICENSE", "MIT", "own", None), 2: ("a/b/x.py", "MIT", "inherited", "a"), 3: ("c/x.py", None, "none", None), 4: (None, None, "none", None), 5: ("a/y.py", "CC-BY-4.0", "own", None)}
+
+
 def test_pipeline_stages_on_edges(spark, sf, edge, empty):
     """Every stage on null, empty, repeated and very long texts, null ids and clashing columns, one after the other; and on no rows."""
     import corpus_pipeline
