@@ -7,14 +7,16 @@ import sys
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tracegrid.errors import NotFoundError, RequestError
+from tracegrid.functions import temporal
 from tracegrid.operators import scalar, selection, stats
-from tracegrid.plans import dataset_queries
+from tracegrid.plans import dataset_queries, grid_queries
 from tracegrid.schema import RAW
 from tracegrid.sources import http_values, raw_files
 from tracegrid.sources.session import Session
@@ -144,3 +146,25 @@ def test_registry_without_a_library_of_the_corpus_operators(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", without)
     importlib.reload(__spark_entry__)
     assert "pair_r2" in __spark_entry__.queries() and __spark_entry__.queries().keys() == __spark_entry__.oracle_sql().keys()
+
+
+def iso(ns):
+    a = abs(ns)
+    t, f = divmod(a, 10**9)
+    f = f"{f:09d}".rstrip("0")
+    clock = (f"{t % 86400 // 3600}H" if t % 86400 >= 3600 else "") + (f"{t % 3600 // 60}M" if t % 3600 >= 60 else "") + (f"{t % 60}{'.' * bool(f)}{f}S" if t % 60 or f else "")
+    return "PT0S" if not a else "-" * (ns < 0) + "P" + (f"{t // 86400}D" if t >= 86400 else "") + ("T" + clock if clock else "")
+
+
+def test_durations_beyond_a_long(spark, tmp_path):
+    """Event 106,758 times a day is the first product that no LONG holds; the SQL is held against ids that DuckDB multiplies in 128 bits."""
+    ids = [*range(12), 106_753, 106_754, 106_755, 106_758, 106_759, 36_000_001, 36_000_002, -106_762]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = {r["event_id"]: r["iso"] for r in grid_queries.timedelta_iso(spark, f"file://{tmp_path}").collect()}
+    assert got == {i: iso((i - 5) * (10**9, 3600 * 10**9, 86400 * 10**9, 1234567890)[i % 4]) for i in ids if i >= 0} | {-106_762: got[-106_762]}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT CAST(event_id AS HUGEINT) AS event_id FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == dict(duck.sql(grid_queries.oracle_sql()["timedelta_iso"]).fetchall())
+    least = [-(2**63), 2**63 - 1, -1, 0]
+    rows = spark.createDataFrame([(n,) for n in least], "ns long").select(temporal.timedelta_iso(F.col("ns")).alias("iso")).collect()
+    assert [r["iso"] for r in rows] == [iso(n) for n in least]

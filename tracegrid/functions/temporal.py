@@ -1,4 +1,4 @@
-"""Nanosecond times as text, by integer arithmetic on LONG columns."""
+"""Nanosecond times as text, by integer arithmetic."""
 
 from __future__ import annotations
 
@@ -24,18 +24,29 @@ def timestamp_iso(ns: Column) -> Column:
 
 
 def timedelta_iso(ns: Column) -> Column:
-    """ISO-8601 duration: sign, days, then hours, minutes and seconds where not zero; fractions without closing zeros."""
-    a = F.abs(ns)
-    part = F.pmod(a, F.lit(NS))
-    total = (a - part).cast("decimal(20,0)") / F.lit(NS)
-    total = total.cast("long")
-    days, hours, minutes, seconds = F.floor(total / 86_400), F.floor(F.pmod(total, F.lit(86_400)) / 3600), F.floor(F.pmod(total, F.lit(3600)) / 60), F.pmod(total, F.lit(60))
+    """ISO-8601 duration: sign, days, then hours, minutes and seconds where not zero; fractions without closing zeros.
+
+    `ns` is a LONG, or a decimal without fraction where durations pass 2^63 ns (292 years); whole seconds must fit a LONG.
+    """
+    whole = lambda x, n: F.call_function("div", x, F.lit(n))
     piece = lambda n, unit: F.when(n > 0, F.concat(n.cast("string"), F.lit(unit))).otherwise("")
-    fraction = F.when(part > 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(part.cast("string"), 9, "0"), "0+$", ""))).otherwise("")
-    secs = F.when((seconds > 0) | (part > 0), F.concat(seconds.cast("string"), fraction, F.lit("S"))).otherwise("")
-    clock = F.concat(piece(hours, "H"), piece(minutes, "M"), secs)
-    body = F.concat(piece(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
-    return F.when(ns == 0, F.lit("PT0S")).otherwise(F.concat(F.when(ns < 0, "-").otherwise(""), F.lit("P"), body))
+
+    def split(n: Column) -> Column:
+        a = F.abs(n)
+        return F.struct((n < 0).alias("below"), whole(a, NS).alias("total"), F.pmod(a, F.lit(NS)).cast("int").alias("part"))
+
+    def text(s: Column) -> Column:
+        total, part = s["total"], s["part"]
+        rest = F.pmod(total, F.lit(86_400))
+        days, hours, minutes, seconds = whole(total, 86_400), whole(rest, 3600), whole(F.pmod(rest, F.lit(3600)), 60), F.pmod(rest, F.lit(60))
+        fraction = F.when(part > 0, F.concat(F.lit("."), F.regexp_replace(F.lpad(part.cast("string"), 9, "0"), "0+$", ""))).otherwise("")
+        secs = F.when((seconds > 0) | (part > 0), F.concat(seconds.cast("string"), fraction, F.lit("S"))).otherwise("")
+        clock = F.concat(piece(hours, "H"), piece(minutes, "M"), secs)
+        body = F.concat(piece(days, "D"), F.when(clock != "", F.concat(F.lit("T"), clock)).otherwise(""))
+        return F.when((total == 0) & (part == 0), F.lit("PT0S")).otherwise(F.concat(F.when(s["below"], "-").otherwise(""), F.lit("P"), body))
+
+    # arrays of one element, so that each step is evaluated once and not again for each piece; in decimals, as the least LONG has no positive counterpart
+    return F.transform(F.transform(F.array(ns.cast("decimal(38,0)")), split), text)[0]
 
 
 def format_ns(ns: Column, logical: str, temporal_format: str = "iso") -> Column:

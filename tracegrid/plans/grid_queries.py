@@ -322,7 +322,8 @@ DELTA = "(event_id - 5) * CASE event_id % 4 WHEN 0 THEN 1000000000 WHEN 1 THEN 3
 def timedelta_iso(spark, sf_dir):
     e = F.col("event_id")
     unit = F.when(e % 4 == 0, 10**9).when(e % 4 == 1, 3600 * 10**9).when(e % 4 == 2, 86400 * 10**9).otherwise(1234567890)
-    return fx.table(spark, sf_dir, "events").select("event_id", temporal.timedelta_iso((e - 5) * unit).alias("iso"))
+    ns = (e.cast("decimal(19,0)") - 5) * unit  # from event 106,758 on, days pass the LONGs
+    return fx.table(spark, sf_dir, "events").select("event_id", temporal.timedelta_iso(ns).alias("iso"))
 
 
 @register("SELECT event_id, CASE WHEN event_id % 3 = 0 OR event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events")
