@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tracegrid.errors import NotFoundError, RequestError
 from tracegrid.functions import temporal
-from tracegrid.operators import scalar, selection, stats
+from tracegrid.operators import checks, scalar, selection, stats
 from tracegrid.plans import dataset_queries, grid_queries
+from tracegrid.plans import fixtures as fx
 from tracegrid.schema import RAW
 from tracegrid.sources import http_values, raw_files
 from tracegrid.sources.session import Session
@@ -168,3 +169,40 @@ def test_durations_beyond_a_long(spark, tmp_path):
     least = [-(2**63), 2**63 - 1, -1, 0]
     rows = spark.createDataFrame([(n,) for n in least], "ns long").select(temporal.timedelta_iso(F.col("ns")).alias("iso")).collect()
     assert [r["iso"] for r in rows] == [iso(n) for n in least]
+
+
+def counted(rows, seen):
+    """The same rows; seen counts them each time that they are computed."""
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+@pytest.mark.parametrize("name", ["staged_equals_unstaged", "select_features", "selection_with_candidates", "redundancy_edges"])
+def test_cells_are_computed_once(spark, sf, monkeypatch, name):
+    seen, cells = spark.sparkContext.accumulator(0), fx.cust_raw
+    monkeypatch.setattr(fx, "cust_raw", lambda *a: counted(cells(*a), seen))
+    grid_queries.queries()[name](spark, sf).collect()
+    assert seen.value == cells(spark, sf).count() > 0
+
+
+def test_unequal_rows_in_one_pass(spark):
+    """Nulls, NaN and repeats, one more often than a block holds, against exceptAll."""
+    a = spark.createDataFrame([(1, None), (1, None), (2, float("nan")), (None, 0.5), (3, 1.0)], "k int, v double").unionByName(spark.range(150_000).selectExpr("9 AS k", "2.5D AS v"))
+    b = spark.createDataFrame([(1, None), (2, float("nan")), (4, 1.0), (4, 1.0), (9, 2.5)], "k int, v double")
+    want = a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    seen = spark.sparkContext.accumulator(0)
+    got = checks.unequal_rows(counted(a, seen), counted(b, seen))
+    by = lambda df: sorted((repr(tuple(r)) for r in df.groupBy("k", "v", "side").count().collect()))
+    assert got.columns == want.columns and by(got) == by(want)
+    assert seen.value == a.count() + b.count()
+
+
+def test_cells_of_one_tile_move_once(spark):
+    raw = spark.createDataFrame([(s, f, float(s * f % 7)) for s in range(20) for f in range(5)], RAW)
+    moved = lambda tile: stats.pair_moments(raw, tile=tile)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert (moved(stats.TILE), moved(2)) == (2, 3)  # to squares and to pairs' sums; more tiles move the squares too

@@ -47,8 +47,13 @@ def coverage_gaps(ids: DataFrame, id_col: str, n: int) -> DataFrame:
 
 
 def unequal_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of one that the other lacks, by side; the columns of both must agree."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows of one that the other lacks, by side, as often as they are lacking; the columns of both must agree. Each side is evaluated once."""
+    signed = a.withColumn("__n", F.lit(1)).union(b.withColumn("__n", F.lit(-1)))
+    n, block = F.col("__n"), 65_536
+    odd = signed.groupBy(*a.columns).agg(F.sum("__n").alias("__n")).where(n != 0).withColumn("side", F.when(n > 0, "left").otherwise("right"))
+    # in two steps, so that no row holds an array as long as its count
+    blocks = odd.withColumn("__n", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.abs(n) - 1, F.lit(block).cast("long")), lambda at: F.least(F.abs(n) - at, F.lit(block)))))
+    return blocks.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), n))).drop("__n")
 
 
 def length_mismatches(index: DataFrame, points: DataFrame) -> DataFrame:

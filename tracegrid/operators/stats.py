@@ -134,11 +134,14 @@ def pair_moments(raw: DataFrame, after: int | None = None, tile: int = TILE, spa
     """
     f, s = F.col("feature_id").cast("int"), F.col("sample_id").cast("long")
     cells = raw.select(f.alias("feature_id"), s.alias("sample_id"), "value").withColumn("first", F.col("feature_id") - F.pmod("feature_id", F.lit(tile)))
-    squares = cells.groupBy("first", (F.col("sample_id") - F.pmod("sample_id", F.lit(span))).alias("span")).agg(F.collect_list(F.struct("feature_id", "sample_id", "value")).alias("cells"))
     ends = raw.agg(F.min("feature_id").alias("a"), F.max("feature_id").alias("b")).first()
     if ends["a"] is None:
         return raw.sparkSession.createDataFrame([], "lo int, hi int, n long, vx double, vy double, cov double")
     low, high = (int(x) // tile * tile for x in ends)
+    # squares of one tile meet only themselves: dealt by span alone, they lie where the pairs are formed and are not moved again
+    by = ["span"] if low == high else ["first", "span"]
+    squares = cells.withColumn("span", F.col("sample_id") - F.pmod("sample_id", F.lit(span))).groupBy(*by).agg(F.collect_list(F.struct("feature_id", "sample_id", "value")).alias("cells"))
+    squares = squares if "first" in by else squares.withColumn("first", F.lit(low))
     other = F.explode(F.sequence(F.lit(low), F.lit(high), F.lit(tile)))
     met = squares.withColumn("other", other).withColumn("i", F.least("first", "other")).withColumn("j", F.greatest("first", "other"))
     if after is not None:

@@ -9,7 +9,7 @@ from tracegrid.functions import temporal, values
 from tracegrid.operators import checks, scalar, selection, stats, traces
 from tracegrid.plans import fixtures as fx
 from tracegrid.plans.grid_queries import (
-    EVENT_SCHEMA, GRID, OPTIONS, PER_BLOCK, PER_PART, SELECTED, _joined, _list, _ranked, _trace_axes, _traces, _value_sum, register, rounded,
+    EVENT_SCHEMA, GRID, OPTIONS, PER_BLOCK, PER_PART, SELECTED, _cust_cells, _joined, _list, _ranked, _trace_axes, _traces, _value_sum, register, rounded,
 )
 from tracegrid.schema import RAW
 from tracegrid.sources import binary_blocks, block_dataset, bundles, raw_files, scalar_store, storage, synthetic
@@ -104,7 +104,7 @@ def synthetic_range(spark, sf_dir):
   SELECT rank, feature_id, ['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'][feature_id // 3 + 1] || '/' || ['count', 'sum', 'max'][feature_id % 3 + 1] AS feature_key,
     n_y_overlap, list_contains((SELECT sel FROM g ORDER BY k DESC LIMIT 1), rank) AS selected FROM ranked""")
 def selection_with_candidates(spark, sf_dir):
-    raw = scalar.clean_raw(fx.cust_raw(spark, sf_dir))
+    raw = _cust_cells(spark, sf_dir)
     found = selection.selection_result(raw, fx.cust_features(spark), fx.cust_samples(spark, sf_dir), OPTIONS)
     return found.select("rank", "feature_id", "feature_key", "n_y_overlap", "selected")
 

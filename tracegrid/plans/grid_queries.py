@@ -159,9 +159,14 @@ cells AS (SELECT sample_id, rank AS feature_id, value FROM cust JOIN ranked USIN
 edges AS (SELECT lo, hi, n, {R2.format(least=50)} AS r2 FROM pm WHERE n >= 50 AND {R2.format(least=50)} >= 0.5)"""
 
 
+def _cust_cells(spark, sf_dir):
+    """The customers' cells, written once: selection reads them many times, and each time would be an aggregation of the orders."""
+    return storage.stored(scalar.clean_raw(fx.cust_raw(spark, sf_dir)), storage.scratch_path(spark, "cells"))
+
+
 def _ranked(spark, sf_dir):
-    raw = scalar.clean_raw(fx.cust_raw(spark, sf_dir))
-    return raw, selection.candidates(stats.selection_stats(raw, fx.cust_features(spark), fx.cust_samples(spark, sf_dir), ["y"]), OPTIONS)
+    raw = _cust_cells(spark, sf_dir)
+    return raw, selection.stored_candidates(raw, fx.cust_features(spark), fx.cust_samples(spark, sf_dir), OPTIONS)
 
 
 @register(f"WITH {SELECTED} SELECT lo, hi, n, round(r2, 6) AS r2 FROM edges")
@@ -174,7 +179,7 @@ def redundancy_edges(spark, sf_dir):
     FROM g JOIN near ON near.rank = g.k + 1)
   SELECT rank, feature_id, round(r2y, {DIGITS}) AS r2y, n_y_overlap FROM ranked WHERE list_contains((SELECT sel FROM g ORDER BY k DESC LIMIT 1), rank)""")
 def select_features(spark, sf_dir):
-    raw = scalar.clean_raw(fx.cust_raw(spark, sf_dir))
+    raw = _cust_cells(spark, sf_dir)
     return rounded(selection.select_features(raw, fx.cust_features(spark), fx.cust_samples(spark, sf_dir), OPTIONS), "r2y")
 
 
