@@ -206,3 +206,39 @@ def test_cells_of_one_tile_move_once(spark):
     raw = spark.createDataFrame([(s, f, float(s * f % 7)) for s in range(20) for f in range(5)], RAW)
     moved = lambda tile: stats.pair_moments(raw, tile=tile)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
     assert (moved(stats.TILE), moved(2)) == (2, 3)  # to squares and to pairs' sums; more tiles move the squares too
+
+
+def test_order_of_a_whole_table_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Ranges of 100 rows against the SQL, with null users and a null position; rows of the result lie in many tasks."""
+    monkeypatch.setattr(checks, "RANGE_ROWS", 100)
+    user = F.when(F.col("id") % 17 == 3, None).otherwise(F.col("id") * 7919 % 1009)
+    events = spark.range(3000).select(F.when(F.col("id") != 1234, F.col("id")).alias("event_id"), user.alias("user_id"))
+    events.write.parquet(f"file://{tmp_path}/events.parquet")
+    found = grid_queries.order_check(spark, f"file://{tmp_path}")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, duck.sql(grid_queries.oracle_sql()["order_check"]).fetchall()))
+    assert found.select(F.spark_partition_id()).distinct().count() > 10
+
+
+def test_order_with_ties_and_two_keys(spark, monkeypatch):
+    """Equal positions go by their keys, within a range and across its edge."""
+    monkeypatch.setattr(checks, "RANGE_ROWS", 5)
+    rows = [(i // 4, i % 3, i * 5 % 7, i) for i in range(60)] + [(3, 1, 1, 60), (3, 1, 1, 61), (9, None, 2, 62), (9, 2, None, 63)]
+    df = spark.createDataFrame(rows, "at int, a int, b int, id int")
+    low = lambda v: (v is not None, v or 0)
+    line = sorted(rows, key=lambda r: (r[0], low(r[1]), low(r[2])))
+
+    def falls(now, before):
+        for x, y in zip(now, before):
+            if x is None or y is None:
+                return False
+            if x != y:
+                return x < y
+        return True
+
+    want = sorted(repr(n[:3]) for p, n in zip(line, line[1:]) if falls(n[1:3], p[1:3]))
+    whole = checks.order_violations(df, F.col("at"), ["a", "b"])
+    alone = checks.order_violations(df.withColumn("f", F.lit(1)), F.col("at"), ["a", "b"], ["f"])
+    for got in (whole, alone):
+        assert sorted(repr(tuple(r)) for r in got.select("at", "a", "b").collect()) == want and want

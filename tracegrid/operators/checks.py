@@ -11,28 +11,44 @@ from tracegrid.errors import DataError
 from tracegrid.sources import storage
 
 
+#: Rows of a range of positions, the most that order_report means to give one task.
+RANGE_ROWS = 131_072
+
+
+def _falls(keys: Sequence[str], before: Column) -> Column:
+    """Whether keys do not exceed those before, as SQL compares rows: unknown where a null decides or no row is before."""
+    out = F.lit(True)
+    for key in reversed(keys):
+        out = (F.col(key) < before[key]) | ((F.col(key) == before[key]) & out)
+    return out
+
+
 def order_violations(rows: DataFrame, position: Column, keys: Sequence[str], partition: Sequence[str] = ()) -> DataFrame:
-    """Rows whose keys do not exceed those of the row before by `position`; per `partition` (a file, say) where given."""
-    w = Window.partitionBy(*partition).orderBy(position)
-    k = F.struct(*keys)
-    return rows.withColumn("__before", F.lag(k).over(w)).where(F.col("__before").isNotNull() & (k <= F.col("__before"))).drop("__before")
+    """Rows whose keys do not exceed those of the row before by `position` (nulls last, ties by keys); per `partition` (a file,
+    say) where given, else over the whole table by order_report."""
+    if not partition:
+        return order_report(rows, position, keys)
+    w = Window.partitionBy(*partition).orderBy(position.asc_nulls_last(), *keys)
+    return rows.withColumn("__before", F.lag(F.struct(*keys)).over(w)).where(_falls(keys, F.col("__before"))).drop("__before")
 
 
-def order_report(rows: DataFrame, position: Column, keys: Sequence[str], tasks: int = 200) -> DataFrame:
-    """order_violations for a whole table without one task that reads it all: rows are dealt by ranges of `position`,
-    compared within their range, and each range's first row with the last row before it (one row for each range).
+def order_report(rows: DataFrame, position: Column, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """order_violations for a whole table without one task that reads it all: rows are dealt by ranges of `position` (as many as
+    `tasks`, or one for each RANGE_ROWS rows), compared within their range, and each range's first row with the last row before
+    it (one row for each range).
 
     The dealt rows are written once: two evaluations would draw the ranges' bounds from different samples."""
-    k = F.struct(*keys)
-    dealt = rows.withColumn("__at", position).repartitionByRange(tasks, "__at").withColumn("__range", F.spark_partition_id())
+    k, at = F.struct(*keys), F.col("__at")
+    tasks = tasks or rows.count() // RANGE_ROWS + 1
+    dealt = rows.withColumn("__at", position).repartitionByRange(tasks, at.asc_nulls_last(), *keys).withColumn("__range", F.spark_partition_id())
     dealt = storage.stored(dealt, storage.scratch_path(rows.sparkSession, "order"))
-    w = Window.partitionBy("__range").orderBy("__at")
-    inside = dealt.withColumn("__before", F.lag(k).over(w))
-    last = dealt.groupBy("__range").agg(F.max_by(k, F.col("__at")).alias("__last"))
+    w = Window.partitionBy("__range").orderBy(at.asc_nulls_last(), *keys)
+    inside = dealt.repartition(tasks, "__range").withColumn("__before", F.lag(k).over(w))
+    last = dealt.groupBy("__range").agg(F.max_by(k, F.struct(at.isNull(), at, k)).alias("__last"))
     # ranges without rows have no last row; the nearest one below counts
     edges = last.select(F.lead("__range").over(Window.orderBy("__range")).alias("__next"), F.col("__last"))
     met = inside.join(F.broadcast(edges), F.col("__range") == F.col("__next"), "left").withColumn("__before", F.coalesce("__before", "__last"))
-    return met.where(F.col("__before").isNotNull() & (k <= F.col("__before"))).select(*rows.columns)
+    return met.where(_falls(keys, F.col("__before"))).select(*rows.columns)
 
 
 def duplicates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
