@@ -12,7 +12,7 @@ from tracegrid.sources import storage
 
 
 #: Rows of a range of positions, the most that order_report means to give one task.
-RANGE_ROWS = 131_072
+RANGE_ROWS = 262_144
 
 
 def _falls(keys: Sequence[str], before: Column) -> Column:
@@ -41,9 +41,10 @@ def order_report(rows: DataFrame, position: Column, keys: Sequence[str], tasks:
     k, at = F.struct(*keys), F.col("__at")
     tasks = tasks or rows.count() // RANGE_ROWS + 1
     dealt = rows.withColumn("__at", position).repartitionByRange(tasks, at.asc_nulls_last(), *keys).withColumn("__range", F.spark_partition_id())
-    dealt = storage.stored(dealt, storage.scratch_path(rows.sparkSession, "order"))
+    # max_by over structs sorts its input, so it too is given a range a task, not a split of the files
+    dealt = storage.stored(dealt, storage.scratch_path(rows.sparkSession, "order")).repartition(tasks, "__range")
     w = Window.partitionBy("__range").orderBy(at.asc_nulls_last(), *keys)
-    inside = dealt.repartition(tasks, "__range").withColumn("__before", F.lag(k).over(w))
+    inside = dealt.withColumn("__before", F.lag(k).over(w))
     last = dealt.groupBy("__range").agg(F.max_by(k, F.struct(at.isNull(), at, k)).alias("__last"))
     # ranges without rows have no last row; the nearest one below counts
     edges = last.select(F.lead("__range").over(Window.orderBy("__range")).alias("__next"), F.col("__last"))
